@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import splitting
+from tarnfold.llm import garbled, splitting
 from tarnfold.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with a garbled sequence."""
+    return garbled.restore(table(spark, sf_dir, "chunks"), "id", "content", with_text=False).select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled chunks with their restored content."""
+    return garbled.restore(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the chunks above 1,000 characters."""
     chunks = table(spark, sf_dir, "chunks").select("id", "content").dropDuplicates(["id"])
@@ -24,7 +34,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_pieces": p6_pieces}
+    return {"p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
