@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import garbled, splitting
+from tarnfold.llm import credentials, garbled, splitting
 from tarnfold.tables import table
 
 
@@ -21,6 +21,16 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of chunks on which a credential starts."""
+    return credentials.locate(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that hold credentials, with these redacted."""
+    return credentials.redacted(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the chunks above 1,000 characters."""
     chunks = table(spark, sf_dir, "chunks").select("id", "content").dropDuplicates(["id"])
@@ -34,7 +44,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_restored": p2_restored, "p6_found": p6_found, "p6_pieces": p6_pieces}
+    return {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
