@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import credentials, garbled, splitting
+from tarnfold.llm import credentials, encoding, garbled, neighbours, packing, splitting
 from tarnfold.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of chunks of which one is among the ten most similar of the other."""
+    near = neighbours.nearest(table(spark, sf_dir, "chunks_vec"), "chunk_id", "embedding")
+    return neighbours.pairs(near, "chunk_id").withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks with a garbled sequence."""
     return garbled.restore(table(spark, sf_dir, "chunks"), "id", "content", with_text=False).select(F.col("id").alias("chunk_id")).distinct()
@@ -43,8 +49,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where(F.col("piece_index") == 1).select(F.col("id").alias("chunk_id")).distinct()
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's text."""
+    return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, by tokens, in containers of 2,048."""
+    sizes = encoding.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens").withColumnRenamed("size", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
