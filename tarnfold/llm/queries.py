@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import credentials, encoding, garbled, neighbours, packing, splitting
+from tarnfold.llm import credentials, encoding, garbled, languages, neighbours, packing, splitting
 from tarnfold.tables import table
 
 
@@ -60,8 +60,22 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens").withColumnRenamed("size", "n_tokens")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages that a document has a sentence in and its label does not name."""
+    documents = table(spark, sf_dir, "documents")
+    keyed = documents.select(F.struct("doc_id", "lang").alias("key"), "text")
+    found = languages.spoken(keyed, "key", "text", table(spark, sf_dir, "lang_samples"))
+    named = languages.named(F.col("key.lang"))
+    return found.where(named.isNull() | (named != F.col("lang"))).select(F.col("key.doc_id").alias("doc_id"), "lang").distinct()
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of documents, each in one language, with their confidence."""
+    return languages.segments(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "lang_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
