@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import credentials, encoding, garbled, languages, neighbours, packing, splitting
+from tarnfold.llm import credentials, encoding, garbled, languages, neighbours, packing, pii, splitting
 from tarnfold.tables import table
 
 
@@ -27,6 +27,18 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of personal information in the content and the metadata of chunks."""
+    found = pii.mentions(table(spark, sf_dir, "chunks"), "id", "content", "metadata", table(spark, sf_dir, "name_parts"))
+    return found.select(F.col("id").alias("chunk_id"), "field", "pii_type").distinct()
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with personal information, with placeholders in its place."""
+    out = pii.masked(table(spark, sf_dir, "chunks"), "id", "content", "metadata", table(spark, sf_dir, "name_parts"))
+    return out.withColumnRenamed("id", "chunk_id").dropDuplicates(["chunk_id"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of chunks on which a credential starts."""
     return credentials.locate(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "line_no").distinct()
@@ -75,7 +87,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
