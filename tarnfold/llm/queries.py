@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm import credentials, encoding, garbled, languages, neighbours, packing, pii, splitting
+from tarnfold.llm import credentials, encoding, garbled, languages, neighbours, packing, pii, similar, splitting
 from tarnfold.tables import table
 
 
@@ -39,6 +39,29 @@ def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "chunk_id").dropDuplicates(["chunk_id"])
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return similar.similar(table(spark, sf_dir, "chunks"), "id", "content", 0.6, words=3, least=20)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return similar.similar(table(spark, sf_dir, "files"), "id", "path", 0.6, chars=4)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of chunks alike in content and of files alike in path."""
+    out = None
+    for kind, (links, members) in (("content", _contents(spark, sf_dir)), ("path", _paths(spark, sf_dir))):
+        found = similar.pairs(members, links, "id").select(F.lit(kind).alias("kind"), "id_a", "id_b")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk of at least 20 words: the class of equal sets it is in, and the links of this."""
+    links, members = _contents(spark, sf_dir)
+    return similar.classes(members, links, "id").withColumnRenamed("id", "chunk_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of chunks on which a credential starts."""
     return credentials.locate(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "line_no").distinct()
@@ -87,7 +110,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:
