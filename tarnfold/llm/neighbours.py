@@ -33,10 +33,12 @@ K = 10
 SAMPLE = 16384
 #: Expected vectors of a shard; the most that one graph of it holds.
 SHARD, GRAPH = 3000, 6000
+#: Shards of one task.
+SHARDS = 4
 #: Sampled vectors a centre needs; rounds of fitting.
 PER_CENTRE, ROUNDS = 16, 8
 #: A vector also asks the shards of other centres at most so much less similar than its own.
-MARGIN, PROBES = 0.05, 3
+MARGIN, PROBES = 0.02, 2
 
 
 def _vectors(column: pa.Array, ids: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +197,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = D
         first = first.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("_id"))).where(F.col("_r") <= k + 1).select("_h", "_id", "_r")
         beyond = copies.join(first.select("_h", "_id"), ["_h", "_id"], "left_anti").select("_h", "_id")
         rows = rows.join(beyond.select("_id"), "_id", "left_anti")
-    routed = rows.mapInArrow(_route(centres, parts, dimension), _ROUTED)
+    routed = rows.mapInArrow(_route(centres, parts, dimension), _ROUTED).repartition(max(1, -(-int(parts.sum()) // SHARDS)), "shard")
     found = routed.groupBy("shard").applyInArrow(_search(k, dimension), _ANSWERS)
     one = F.filter(F.arrays_zip("sim", "near"), lambda e: e["near"] >= 0)
     merged = found.groupBy("_id").agg(F.flatten(F.collect_list(one)).alias("all"))
