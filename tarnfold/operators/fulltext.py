@@ -62,9 +62,10 @@ class Node:
     phrases: tuple[Phrase, ...] = ()
     reach: int = NEAR_DEFAULT
 
-    def all_phrases(self) -> list[tuple[Phrase, Node]]:
-        own = [(p, self) for p in self.phrases]
-        return own + [p for part in self.parts for p in part.all_phrases()]
+    def all_phrases(self, above: tuple[Node, ...] = ()) -> list[tuple[Phrase, tuple[Node, ...]]]:
+        """Phrases with the conjunctions that they stand in below the root: where one of these fails, the phrase doesn't count."""
+        own = [(p, above) for p in self.phrases]
+        return own + [p for part in self.parts for p in part.all_phrases((*above, part) if part.kind in ("and", "not", "near") else above)]
 
     def matches(self, t: Column) -> Column:
         if self.kind == "phrase":
@@ -95,6 +96,13 @@ def _near(node: Node, t: Column) -> Column:
     return step(0, [])
 
 
+def _within(above: tuple[Node, ...], t: Column) -> Column:
+    out = F.lit(True)
+    for node in above:
+        out = out & node.matches(t)
+    return out
+
+
 _LEX = re.compile(r'\s*(?:(?P<string>"(?:[^"]|"")*")|(?P<op>[()+*:{},^\-])|(?P<word>[A-Za-z0-9_\x1a\x80-\U0010ffff]+))')
 
 
@@ -157,8 +165,9 @@ class Parser:
         return self._chain("NOT", "not", self._implicit)
 
     def _implicit(self) -> Node:
+        bracketed = self._peek() == ("op", "(")
         parts = [self._unit()]
-        while (kind := self._peek())[0] in ("word", "string") and kind not in (("word", "OR"), ("word", "AND"), ("word", "NOT")) or kind[1] in ("(", "^", "{"):
+        while not bracketed and ((kind := self._peek())[0] in ("word", "string") and kind not in (("word", "OR"), ("word", "AND"), ("word", "NOT")) or kind[1] in ("^", "{")):
             parts.append(self._unit())
         return parts[0] if len(parts) == 1 else Node("and", tuple(parts))
 
@@ -244,16 +253,18 @@ def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", te
         if strict:
             raise
         return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    phrases = [p for p, _ in node.all_phrases()]
+    found = node.all_phrases()
+    phrases = [p for p, _ in found]
     t = F.col("_t")
     counted = rows.where(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("_t"))
-    counted = counted.select(id_col, F.size(t).alias("_dl"), node.matches(t).alias("_hit"), *[p.count(t).alias(f"_f{k}") for k, p in enumerate(phrases)])
+    counted = counted.select(id_col, F.size(t).alias("_dl"), node.matches(t).alias("_hit"), *[p.count(t).alias(f"_f{k}") for k, p in enumerate(phrases)], *[_within(above, t).alias(f"_w{k}") for k, (_, above) in enumerate(found)])
+    counted = counted.withColumns({f"_e{k}": F.when(F.col(f"_w{k}"), F.col(f"_f{k}")).otherwise(0) for k in range(len(found))})
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(phrases))])
     score = F.lit(0.0)
-    for k in range(len(phrases)):
+    for k in range(len(found)):
         idf = F.log((F.col("_n") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
         idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-        f = F.col(f"_f{k}")
+        f = F.col(f"_e{k}")
         score = score - idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     hits = counted.where("_hit").crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))
     return hits.orderBy("score", id_col).limit(limit)
