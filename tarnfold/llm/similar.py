@@ -154,16 +154,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
             yield part.column(0), part.column(1).to_pylist()
 
 
-def _sketch(shape: tuple[int, int, int]):
+def _survey(shape: tuple[int, int, int]):
+    """Members (_id, key) of the texts that take part, and blocks of the sketch of their bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint8)
-        for _, texts in _texts(batches):
-            bits, _ = _shingler(*shape).bits(texts)
+        names, kind = ["_id", "key", "block", "counts"], None
+        for ids, texts in _texts(batches):
+            kind = ids.type
+            bits, begin = _shingler(*shape).bits(texts)
+            has = np.diff(begin) > 0
+            n = int(has.sum())
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(_keys(bits, begin)[has].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
             slot, n = np.unique((bits % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
             total[slot] = np.minimum(total[slot].astype(np.int64) + n, 255)
         blocks = total.reshape(-1, BLOCK)
         for b in np.flatnonzero(blocks.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([_squeeze(blocks[b])], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.array([int(b)], pa.int32()), pa.array([_squeeze(blocks[b])], pa.binary())], names)
 
     return run
 
@@ -192,8 +199,9 @@ def _levels(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(count <= 1, count, 8 * np.log2(np.maximum(count, 1)) - 6), 255).astype(np.uint8)
 
 
-def _costs(rows: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
-    parts = rows.mapInArrow(_sketch(shape), "block int, counts binary").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect()
+def _costs(survey: DataFrame) -> np.ndarray:
+    """The cost level of every slot of the sketch: a table of fixed size."""
+    parts = survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect()
     out = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
     for block, data in parts:
         out[block] = _spread(data)
@@ -234,16 +242,6 @@ def _probe(costs: Broadcast, shape: tuple[int, int, int], t: float):
     return run
 
 
-def _members(shape: tuple[int, int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            bits, begin = _shingler(*shape).bits(texts)
-            has = np.diff(begin) > 0
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(_keys(bits, begin)[has].view(np.int64))], ["_id", "key"])
-
-    return run
-
-
 def _sets(wanted: Broadcast, shape: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.frombuffer(wanted.value, np.uint64)
@@ -295,10 +293,10 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     spark, shape, t = df.sparkSession, (words, chars, least), threshold
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & (F.length("_text") > 0))
-    costs = spark.sparkContext.broadcast(_costs(rows, shape).tobytes())
+    survey = materialise(rows.mapInArrow(_survey(shape), f"_id {kind}, key long, block int, counts binary"), "survey")
+    costs = spark.sparkContext.broadcast(_costs(survey).tobytes())
     probes = rows.mapInArrow(_probe(costs, shape, t), _PROBES)
-    small = probes.where(F.col("place") < F.col("size") - F.ceil(2 * t / (1 + t) * F.col("size") - 1e-9) + 1)
-    a, b = probes.alias("a"), small.alias("b")
+    a, b = probes.alias("a"), probes.alias("b")
     need = F.ceil(t / (1 + t) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     apart = sum((F.bit_count(F.col(f"a.s{j}").bitwiseXOR(F.col(f"b.s{j}"))) for j in range(1, 3)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
     close = (F.col("a.bit") == F.col("b.bit")) & ((F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.key") > F.col("b.key"))))
@@ -313,7 +311,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     sets = rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits"))
     paired = candidates.join(sets.withColumnsRenamed({"key": "key_a", "bits": "bits_a"}), "key_a").join(sets.withColumnsRenamed({"key": "key_b", "bits": "bits_b"}), "key_b")
     links = paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double")
-    members = rows.mapInArrow(_members(shape), f"_id {kind}, key long").distinct().withColumnRenamed("_id", key)
+    members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), "key").distinct(), "members")
     return links, members
 
 
