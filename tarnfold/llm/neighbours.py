@@ -12,7 +12,7 @@ Defined results: only vectors of exactly ``DIMENSION`` finite values, not all
 zero, take part; repeated ids count once; equal similarities go to the smaller
 id. Of a group of more than k + 1 identical vectors the k + 1 smallest ids are
 searched; the others are given the k smallest ids, which is their exact
-result. An empty table gives no rows.
+result. Groups that are large beyond a shard are taken out before. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm import graph
+from tarnfold.storage import materialise
 
 DIMENSION = 384
 K = 10
@@ -36,6 +37,9 @@ SAMPLE = 16384
 SHARD, GRAPH = 3000, 6000
 #: Shards of one task.
 SHARDS = 4
+#: Copies of a vector above which its group is set apart before the search, the most common groups first, so many at most:
+#: what is broadcast is bounded, and no other group has more copies than a share of 1 / HOT of all vectors.
+COPIES, HOT = 1000, 10_000
 #: Sampled vectors a centre needs; rounds of fitting.
 PER_CENTRE, ROUNDS = 16, 8
 #: A vector also asks the shards of other centres at most so much less similar than its own.
@@ -162,9 +166,14 @@ def _search(k: int, dimension: int):
         once = np.ones(len(ids), bool)
         once[1:] = ids[1:] != ids[:-1]
         order, ids, base = order[once], ids[once], base[once]
-        x = _unpack(shard.column("v").take(pa.array(order)).to_pylist(), dimension).astype(np.float32)
-        x = _unit(x)
+        half = _unpack(shard.column("v").take(pa.array(order)).to_pylist(), dimension)
         n = int(base.sum())
+        rank, first = _ranks(half[:n], k)
+        spare = np.flatnonzero(rank > k)
+        extra = _answers(ids[spare], ids[first[spare]], np.ones((len(spare), k), np.float32)) if len(spare) else None
+        keep = np.r_[rank <= k, np.ones(len(ids) - n, bool)]
+        ids, n = ids[keep], n - len(spare)
+        x = _unit(half[keep].astype(np.float32))
         near = np.full((len(ids), k), -1, np.int64)
         sims = np.full((len(ids), k), -9, np.float32)
         for a in range(0, n, GRAPH):
@@ -186,11 +195,26 @@ def _search(k: int, dimension: int):
                 all_sims = np.concatenate([sims[q], value], 1)
                 rank = np.lexsort((all_ids, -all_sims), axis=1)[:, :k]
                 near[q], sims[q] = np.take_along_axis(all_ids, rank, 1), np.take_along_axis(all_sims, rank, 1)
-        return _answers(ids, near, sims)
+        out = _answers(ids, near, sims)
+        return out if extra is None else pa.concat_tables([out, extra])
 
     return run
 
 
+def _ranks(half: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place among rows identical to it, and the first ``k`` of these (rows are in the order of ids)."""
+    n = len(half)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros((0, k), np.int64)
+    _, group = np.unique(half.view(np.dtype((np.void, half.shape[1] * 2))).ravel(), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    begin = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
+    first = order[np.minimum(begin[group][:, None] + np.arange(k), n - 1)]
+    return rank, first
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = DIMENSION) -> DataFrame:
     """For every valid vector its ``k`` most similar others: key, near (ids, best first), sim (cosines).
 
@@ -199,25 +223,24 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = D
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).where(F.col("_id").isNotNull() & (F.size("_v") == dimension))
     centres, parts = _centres(rows, dimension)
     hashed = rows.select("_id", F.xxhash64("_v").alias("_h"))
-    hot = hashed.groupBy("_h").count().where(F.col("count") > k + 1).select("_h")
-    first = beyond = None
+    hot = hashed.groupBy("_h").count().where(F.col("count") > COPIES).orderBy(F.desc("count"), "_h").limit(HOT).select("_h")
+    copied = None
     if not hot.isEmpty():
-        copies = hashed.join(hot, "_h").distinct().withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(64)))
+        copies = hashed.join(F.broadcast(hot), "_h").distinct().withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(64)))
         first = copies.withColumn("_r", F.row_number().over(Window.partitionBy("_h", "_s").orderBy("_id"))).where(F.col("_r") <= k + 1)
-        first = first.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("_id"))).where(F.col("_r") <= k + 1).select("_h", "_id", "_r")
-        beyond = copies.join(first.select("_h", "_id"), ["_h", "_id"], "left_anti").select("_h", "_id")
-        rows = rows.join(beyond.select("_id"), "_id", "left_anti")
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("_id"))).where(F.col("_r") <= k + 1)
+        least = materialise(first.groupBy("_h").agg(F.max("_id").alias("_most"), F.slice(F.sort_array(F.collect_list("_id")), 1, k).alias("near")), "copies")
+        beyond = hashed.join(F.broadcast(least), "_h").where(F.col("_id") > F.col("_most")).select("_id", "near").dropDuplicates(["_id"])
+        copied = beyond.select("_id", "near", F.transform("near", lambda _: F.lit(1.0).cast("float")).alias("sim"))
+        rows = rows.withColumn("_h", F.xxhash64("_v")).join(F.broadcast(least.select("_h", "_most")), "_h", "left").where(F.col("_most").isNull() | (F.col("_id") <= F.col("_most"))).select("_id", "_v")
     routed = rows.mapInArrow(_route(centres, parts, dimension), _ROUTED).repartition(max(1, -(-int(parts.sum()) // SHARDS)), "shard")
     found = routed.groupBy("shard").applyInArrow(_search(k, dimension), _ANSWERS)
     one = F.filter(F.arrays_zip("sim", "near"), lambda e: e["near"] >= 0)
     merged = found.groupBy("_id").agg(F.flatten(F.collect_list(one)).alias("all"))
     best = F.slice(F.sort_array(F.transform("all", lambda e: F.struct((-e["sim"]).alias("far"), e["near"].alias("near")))), 1, k)
     searched = merged.select("_id", F.transform(best, lambda e: e["near"]).alias("near"), F.transform(best, lambda e: -e["far"]).alias("sim"))
-    if first is None:
-        return searched.withColumnRenamed("_id", key)
-    smallest = first.where(F.col("_r") <= k).groupBy("_h").agg(F.sort_array(F.collect_list("_id")).alias("near"))
-    copied = beyond.join(smallest, "_h").select("_id", "near", F.transform("near", lambda _: F.lit(1.0).cast("float")).alias("sim"))
-    return searched.unionByName(copied).withColumnRenamed("_id", key)
+    out = searched if copied is None else searched.unionByName(copied)
+    return out.withColumnRenamed("_id", key)
 
 
 def pairs(near: DataFrame, key: str) -> DataFrame:
