@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 24
-BEAM = 24
+DEGREE = 32
+BEAM = 32
 ALPHA = 1.2
 EXPAND = 4
-CANDIDATES = 40
+CANDIDATES = 48
 #: Entry points of a shard, those that a search starts from, and those offered to pruning as far neighbours.
 ENTRIES, STARTS, FAR = 128, 4, 8
 BATCH = 512

@@ -106,7 +106,7 @@ class Model:
                 total += alpha[j] * (self.table[k] if k >= 0 else self.floor)
             alpha.append(total)
             if (top := total.max()) < 1e-200:
-                alpha = [a / top for a in alpha]
+                alpha = alpha[: -self.longest] + [a / top for a in alpha[-self.longest :]]
                 log += math.log(top)
         return np.log(np.maximum(alpha[-1], 1e-300)) + log
 
