@@ -285,7 +285,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     """Links between classes of equal sets, and the members of the classes.
 
     Links: key_a, key_b (of classes), similarity, once per pair with
-    ``threshold`` or more. Members: ``key`` and class key of every text that
+    ``threshold`` or more. Members: ``key`` and ``_class`` of every text that
     takes part. Give either ``words`` or ``chars`` per shingle.
     """
     if bool(words) == bool(chars) or not 0 < threshold <= 1:
@@ -311,15 +311,15 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     sets = rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits"))
     paired = candidates.join(sets.withColumnsRenamed({"key": "key_a", "bits": "bits_a"}), "key_a").join(sets.withColumnsRenamed({"key": "key_b", "bits": "bits_b"}), "key_b")
     links = paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double")
-    members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), "key").distinct(), "members")
+    members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), F.col("key").alias("_class")).distinct(), "members")
     return links, members
 
 
 def classes(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """One row per record: key, class_id (the least key of equal sets) and the links of its class to others."""
-    least = members.groupBy("key").agg(F.min(key).alias("class_id"))
-    ends = links.select(F.col("key_a").alias("key")).union(links.select(F.col("key_b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(least, "key").join(ends, "key", "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = members.groupBy("_class").agg(F.min(key).alias("class_id"))
+    ends = links.select(F.col("key_a").alias("_class")).union(links.select(F.col("key_b").alias("_class"))).groupBy("_class").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(least, "_class").join(ends, "_class", "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -328,10 +328,10 @@ def pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     A class of at most ``PAIRED`` members is paired out; a larger one, whose
     texts are copies, is linked through its least id, so no link is lost.
     """
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
-    shared = materialise(members.join(sized.where("n > 1 and n <= %d" % PAIRED), "key").select("key", F.col(key).alias("id")), "copies")
-    inside = shared.alias("a").join(shared.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    star = members.join(sized.where("n > %d" % PAIRED), "key").where(F.col(key) != F.col("least")).select(F.col("least").alias("id_a"), F.col(key).alias("id_b"))
-    few = members.join(sized, "key").where((F.col("n") <= PAIRED) | (F.col(key) == F.col("least"))).select("key", F.col(key).alias("id"))
-    between = links.select("key_a", "key_b").join(few.withColumnsRenamed({"key": "key_a", "id": "x"}), "key_a").join(few.withColumnsRenamed({"key": "key_b", "id": "y"}), "key_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    sized = members.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
+    shared = materialise(members.join(sized.where("n > 1 and n <= %d" % PAIRED), "_class").select("_class", F.col(key).alias("id")), "copies")
+    inside = shared.alias("a").join(shared.alias("b"), (F.col("a._class") == F.col("b._class")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    star = members.join(sized.where("n > %d" % PAIRED), "_class").where(F.col(key) != F.col("least")).select(F.col("least").alias("id_a"), F.col(key).alias("id_b"))
+    few = members.join(sized, "_class").where((F.col("n") <= PAIRED) | (F.col(key) == F.col("least"))).select("_class", F.col(key).alias("id"))
+    between = links.select("key_a", "key_b").join(few.withColumnsRenamed({"_class": "key_a", "id": "x"}), "key_a").join(few.withColumnsRenamed({"_class": "key_b", "id": "y"}), "key_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return inside.union(star).union(between).distinct()
