@@ -7,15 +7,18 @@ are rounded to six places in both engines; limits are features of the query
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.config import Config
 from tarnfold.errors import classify_error
 from tarnfold.functions import paths, text
 from tarnfold.functions.exif import gps_column
 from tarnfold.operators import catalog, fulltext, hybrid, sync, vector
+from tarnfold.sources import scan as source
 from tarnfold.sources.embed import embed
 from tarnfold.tables import table
 
@@ -446,6 +449,22 @@ def exif_gps(spark, d):
     return table(spark, d, "events").select("event_id", gps_column(lat, F.when(F.col("user_id") % 2 == 0, "S").otherwise("N"), lon, F.lit("E")).alias("gps"))
 
 
+@query()
+def scan_fs(spark, d):
+    """The scan of a file tree: this package's own folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return source.scan(source.listing(spark, root), Config(), root).select(paths.base_name(F.col("path")).alias("name"), "file_size")
+
+
+@query()
+def extract_fs(spark, d):
+    """Text and checksum of every file of that tree."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = source.scan(source.listing(spark, root), Config(), root)
+    texts = source.extract(found.select("path"), Config()).join(source.checksums(found.select("path")), "path")
+    return texts.select(paths.base_name(F.col("path")).alias("name"), F.char_length("text").alias("n_chars"), "error", "checksum")
+
+
 @query()
 def embed_hash(spark, d):
     """Vectors of all chunks by the deterministic embedder."""
