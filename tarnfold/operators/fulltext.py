@@ -241,11 +241,12 @@ def parse(query: str) -> Node:
     return Parser(query).parse()
 
 
-def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", text_col: str = "content", strict: bool = False) -> DataFrame:
+def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", text_col: str = "content", strict: bool = False, unique: bool = False) -> DataFrame:
     """The ``limit`` best rows for a keyword query: ``id_col`` and score, least first, ties by id.
 
     A query against the grammar gives no rows, unless ``strict`` (then
-    QueryError). Null texts count as no row of the index.
+    QueryError). Null texts count as no row of the index. Ids count once; unless
+    they are ``unique``, counts (not texts) are shuffled for that.
     """
     try:
         node = parse(query)
@@ -259,6 +260,8 @@ def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", te
     counted = rows.where(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("_t"))
     counted = counted.select(id_col, F.size(t).alias("_dl"), node.matches(t).alias("_hit"), *[p.count(t).alias(f"_f{k}") for k, p in enumerate(phrases)], *[_within(above, t).alias(f"_w{k}") for k, (_, above) in enumerate(found)])
     counted = counted.withColumns({f"_e{k}": F.when(F.col(f"_w{k}"), F.col(f"_f{k}")).otherwise(0) for k in range(len(found))})
+    if not unique:
+        counted = counted.dropDuplicates([id_col])
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(phrases))])
     score = F.lit(0.0)
     for k in range(len(found)):

@@ -12,7 +12,7 @@ from tarnfold.operators import fulltext, vector
 OVERFETCH, SIMILAR_EXTRA, SAMPLE = 3, 10, 200
 
 
-def vector_hits(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query: list[float] | DataFrame, limit: int, path: str | None = None, compat: bool = True, scoped: bool = False) -> DataFrame:
+def vector_hits(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query: list[float] | DataFrame, limit: int, path: str | None = None, compat: bool = True, scoped: bool = False, unique: bool = False) -> DataFrame:
     """The nearest ``3 × limit`` chunks with their files.
 
     A path prefix is applied to these afterwards, so fewer may be left;
@@ -21,7 +21,7 @@ def vector_hits(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query:
     if scoped and path:
         inside = chunks.join(files.where(has_prefix(F.col("path"), path, compat)).select(F.col("id").alias("file_id")), "file_id", "left_semi")
         vectors = vectors.join(inside.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    near = vector.described(vector.knn(vectors, query, OVERFETCH * limit), chunks, files)
+    near = vector.described(vector.knn(vectors, query, OVERFETCH * limit, unique=unique), chunks, files)
     return near.where(has_prefix(F.col("path"), path, compat))
 
 
@@ -36,28 +36,29 @@ def merge(vectors: DataFrame, keywords: DataFrame, limit: int) -> DataFrame:
     return first.unionByName(second, allowMissingColumns=True).orderBy("branch", "_o", "chunk_id").limit(limit).drop("branch", "_o")
 
 
-def search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, text: str, query: list[float] | DataFrame, limit: int = 10, path: str | None = None, compat: bool = True, scoped: bool = False) -> DataFrame:
+def search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, text: str, query: list[float] | DataFrame, limit: int = 10, path: str | None = None, compat: bool = True, scoped: bool = False, unique: bool = False) -> DataFrame:
     """Hybrid search: chunk_id, content, metadata, chunk_index, path, file_type, source, vector_distance, fts_score.
 
     Keyword hits are not restricted to ``path`` unless ``scoped``; a query
     that keyword search can't parse has vector rows only.
     """
-    near = vector_hits(vectors, chunks, files, query, limit, path, compat, scoped)
+    near = vector_hits(vectors, chunks, files, query, limit, path, compat, scoped, unique)
     pool = chunks
     if scoped and path:
         pool = chunks.join(files.where(has_prefix(F.col("path"), path, compat)).select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    words = vector.described(fulltext.search(pool.withColumnRenamed("id", "chunk_id"), text, limit), chunks, files)
+    words = vector.described(fulltext.search(pool.withColumnRenamed("id", "chunk_id"), text, limit, unique=unique), chunks, files)
     return merge(near, words, limit)
 
 
-def similar(vectors: DataFrame, chunks: DataFrame, files: DataFrame, file_path: str, limit: int = 10) -> DataFrame:
+def similar(vectors: DataFrame, chunks: DataFrame, files: DataFrame, file_path: str, limit: int = 10, unique: bool = False) -> DataFrame:
     """Files like one: its chunks' mean vector, the nearest chunks, the best one of each other file.
 
     path, file_type, distance, sample_content. A file without vectors has none like it.
     """
     own = chunks.join(F.broadcast(files.where(F.col("path") == file_path).select(F.col("id").alias("file_id")).limit(1)), "file_id", "left_semi")
     mine = vectors.join(F.broadcast(own.select(F.col("id").alias("chunk_id"))), "chunk_id", "left_semi").withColumn("_g", F.lit(1))
+    mine = mine if unique else mine.dropDuplicates(["chunk_id"])
     query = vector.centroid(mine, "_g").select(F.col("centroid").alias("query"))
-    near = vector.described(vector.knn(vectors, query, OVERFETCH * (limit + SIMILAR_EXTRA)), chunks, files)
+    near = vector.described(vector.knn(vectors, query, OVERFETCH * (limit + SIMILAR_EXTRA), unique=unique), chunks, files)
     best = vector.best_per_group(near.where(F.col("path") != file_path), "path", ["distance", "chunk_id"])
     return best.select("path", "file_type", "distance", F.substring("content", 1, SAMPLE).alias("sample_content"), "chunk_id").orderBy("distance", "chunk_id").limit(limit).drop("chunk_id")

@@ -16,11 +16,13 @@ def literal(query: list[float]) -> Column:
     return F.lit([float(x) for x in query]).cast("array<double>")
 
 
-def knn(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+def knn(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", unique: bool = False) -> DataFrame:
     """The ``k`` nearest vectors: ``id_col`` and distance, ties by id.
 
     ``query`` is a literal vector or a one-row frame with a column ``query``.
-    Null vectors and those of another length or with NaN take no part.
+    Null vectors and those of another length or with NaN take no part. Ids
+    count once; unless they are ``unique``, ids and distances (not vectors) are
+    shuffled for that.
     """
     rows = vectors.select(id_col, vector_col)
     if isinstance(query, DataFrame):
@@ -28,14 +30,15 @@ def knn(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_col: str
     else:
         q = literal(query)
     far = rows.select(id_col, l2(F.col(vector_col), q).alias("distance"))
-    return far.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", id_col).limit(k)
+    far = far.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    return (far if unique else far.groupBy(id_col).agg(F.min("distance").alias("distance"))).orderBy("distance", id_col).limit(k)
 
 
 def described(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Hits joined with their chunks and files; the few hits are the side that is sent around."""
-    found = chunks.join(F.broadcast(hits), chunks["id"] == hits["chunk_id"]).select("chunk_id", *[c for c in hits.columns if c != "chunk_id"], "file_id", "content", "metadata", "chunk_index")
+    """Hits joined with their chunks and files, rows repeated in these once; the few hits are the side that is sent around."""
+    found = chunks.join(F.broadcast(hits), chunks["id"] == hits["chunk_id"]).select("chunk_id", *[c for c in hits.columns if c != "chunk_id"], "file_id", "content", "metadata", "chunk_index").dropDuplicates(["chunk_id"])
     f = files.select(F.col("id").alias("_fid"), "path", "file_type")
-    return f.join(F.broadcast(found), F.col("_fid") == F.col("file_id")).drop("_fid", "file_id")
+    return f.join(F.broadcast(found), F.col("_fid") == F.col("file_id")).drop("_fid", "file_id").dropDuplicates(["chunk_id"])
 
 
 def centroid(vectors: DataFrame, by: str, vector_col: str = "embedding") -> DataFrame:

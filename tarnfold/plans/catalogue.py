@@ -58,7 +58,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks_vec").where(F.size("embedding") == 384).dropDuplicates(["chunk_id"])
+    return table(spark, d, "chunks_vec").where(F.size("embedding") == 384)
 
 
 # SQL parts
@@ -97,7 +97,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, d: str, words: str) -> DataFrame:
-    rows = _t(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "content")
+    rows = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "content")
     return _rounded(fulltext.search(rows, words, LIMIT), "score")
 
 
@@ -166,14 +166,14 @@ def _first_vector(spark, d) -> DataFrame:
 @query(f"WITH {_F}, {_C}, {_QV}, {_DESCRIBED} SELECT chunk_id, round(distance, 6) AS distance, content, metadata, chunk_index, path, file_type FROM g")
 def knn_join_chunks_files(spark, d):
     """The thirty chunks nearest to the first one's vector, with their files."""
-    near = vector.described(vector.knn(_vectors(spark, d), _first_vector(spark, d), 30), _t(spark, d, "chunks"), _t(spark, d, "files"))
+    near = vector.described(vector.knn(_vectors(spark, d), _first_vector(spark, d), 30), table(spark, d, "chunks"), _t(spark, d, "files"))
     return _rounded(near, "distance")
 
 
 @query(f"WITH {_F}, {_C}, {_QV}, {_DESCRIBED} SELECT chunk_id, round(distance, 6) AS distance, path FROM g WHERE lower(path) LIKE '/srv/%'")
 def knn_path_postfilter(spark, d):
     """The same with a path prefix applied to the thirty, so that fewer are left."""
-    near = hybrid.vector_hits(_vectors(spark, d), _t(spark, d, "chunks"), _t(spark, d, "files"), _first_vector(spark, d), LIMIT, "/srv/")
+    near = hybrid.vector_hits(_vectors(spark, d), table(spark, d, "chunks"), _t(spark, d, "files"), _first_vector(spark, d), LIMIT, "/srv/")
     return _rounded(near.select("chunk_id", "distance", "path"), "distance")
 
 
@@ -194,7 +194,7 @@ def similar_files(spark, d):
     """The ten files most like the first by path."""
     files = _t(spark, d, "files")
     own = files.agg(F.min("path")).head()[0] or ""
-    return _rounded(hybrid.similar(_vectors(spark, d), _t(spark, d, "chunks"), files, own, LIMIT), "distance")
+    return _rounded(hybrid.similar(_vectors(spark, d), table(spark, d, "chunks"), files, own, LIMIT), "distance")
 
 
 # Keywords
@@ -268,7 +268,7 @@ _BOTH = f"WITH {_F}, {_bm25([_one('naive'), _one('pictures')], 'f0 > 0 AND f1 >
 
 
 def _hybrid(spark, d, path: str | None) -> DataFrame:
-    found = hybrid.search(_vectors(spark, d), _t(spark, d, "chunks"), _t(spark, d, "files"), WORDS, _first_vector(spark, d), LIMIT, path)
+    found = hybrid.search(_vectors(spark, d), table(spark, d, "chunks"), _t(spark, d, "files"), WORDS, _first_vector(spark, d), LIMIT, path)
     return _rounded(found.drop("metadata"), "vector_distance", "fts_score")
 
 
@@ -303,7 +303,7 @@ def prefix_delete_boundary(spark, d):
 def delete_cascade(spark, d):
     """What is left of files, chunks and vectors once every seventh file is deleted."""
     files = _t(spark, d, "files")
-    f, c, v = sync.delete_files(files.where("id % 7 = 0").select(F.col("id").alias("file_id")), files, _t(spark, d, "chunks"), _vectors(spark, d))
+    f, c, v = sync.delete_files(files.where("id % 7 = 0").select(F.col("id").alias("file_id")), files, table(spark, d, "chunks").select("id", "file_id").dropDuplicates(["id"]), _vectors(spark, d).select("chunk_id").distinct())
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(f, "n_files").crossJoin(c.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("id").alias("chunk_ids"))).crossJoin(n(v, "n_vectors"))
 
@@ -346,7 +346,9 @@ def list_files_page(spark, d):
 def get_chunks(spark, d):
     """The chunks of the first file by path."""
     files = _t(spark, d, "files")
-    return catalog.get_chunks(_t(spark, d, "chunks"), files, files.agg(F.min("path")).head()[0] or "")
+    path = files.agg(F.min("path")).head()[0] or ""
+    own = table(spark, d, "chunks").join(F.broadcast(files.where(F.col("path") == path).select(F.col("id").alias("file_id"))), "file_id", "left_semi")
+    return catalog.get_chunks(own.dropDuplicates(["id"]), files, path)
 
 
 @query(f"WITH {_R} SELECT * FROM r ORDER BY id DESC LIMIT 20")
@@ -418,7 +420,7 @@ def sync_plan(spark, d):
 def dedup_first_by_rank(spark, d):
     """The nearest chunk of every file."""
     far = _vectors(spark, d).crossJoin(F.broadcast(_first_vector(spark, d))).select("chunk_id", vector.l2(F.col("embedding"), F.col("query")).alias("distance")).where(~F.isnan("distance"))
-    hits = far.join(_t(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
+    hits = far.join(table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "file_id").distinct(), "chunk_id")
     return _rounded(vector.best_per_group(hits, "file_id", ["distance", "chunk_id"]).select("file_id", "chunk_id", "distance"), "distance")
 
 
@@ -426,7 +428,7 @@ def dedup_first_by_rank(spark, d):
 def metadata_json(spark, d):
     """Language and page from the metadata of chunks, null where it is no valid JSON."""
     m = F.from_json("metadata", "lang string, page int")
-    return _t(spark, d, "chunks").where("metadata is not null").select("id", m["lang"].alias("lang"), m["page"].alias("page"))
+    return table(spark, d, "chunks").where("metadata is not null").select("id", m["lang"].alias("lang"), m["page"].alias("page")).dropDuplicates(["id"])
 
 
 @query(f"WITH {_E}, x AS (SELECT id, path, CASE WHEN resolved = 0 THEN 'error' ELSE 'indexed' END AS status FROM e) SELECT * FROM x WHERE (SELECT count(*) FROM x) <= 200 OR status = 'error'")

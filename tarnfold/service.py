@@ -146,12 +146,12 @@ class Index:
 
     def search(self, query: str, path: str | None = None, limit: int = 10, scoped: bool = False) -> DataFrame:
         params.Search(query, path, limit)
-        return hybrid.search(self.store.read("vectors"), self.store.read("chunks"), self.store.read("files"), query, self.embedder.query(query), limit, path, scoped=scoped)
+        return hybrid.search(self.store.read("vectors"), self.store.read("chunks"), self.store.read("files"), query, self.embedder.query(query), limit, path, scoped=scoped, unique=True)
 
     def similar(self, file_path: str, limit: int = 10) -> DataFrame:
         params.Similar(file_path, limit)
         self._known(file_path)
-        return hybrid.similar(self.store.read("vectors"), self.store.read("chunks"), self.store.read("files"), file_path, limit)
+        return hybrid.similar(self.store.read("vectors"), self.store.read("chunks"), self.store.read("files"), file_path, limit, unique=True)
 
     def status(self) -> DataFrame:
         return catalog.status(self.store.read("files"), self.store.read("runs")).withColumn("embedding_model", F.lit(self.config.embedding_model)).withColumn("root", F.lit(self.config.root))
