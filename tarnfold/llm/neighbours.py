@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm import graph
@@ -57,6 +57,13 @@ def _vectors(column: pa.Array, ids: pa.Array, dimension: int) -> tuple[np.ndarra
     return ids.to_numpy(zero_copy_only=False)[ok].astype(np.int64), x[ok]
 
 
+def _usable(vector: Column) -> Column:
+    """The test of ``_vectors`` on values of the right number, as a column: none null, NaN or infinite, not all zero (NaN counts as the greatest)."""
+    top, bottom = F.lit(float("inf")).cast("float"), F.lit(float("-inf")).cast("float")
+    finite = (F.array_max(vector) < top) & (F.array_min(vector) > bottom) & ~F.array_contains(vector, top)  # null where a value is null
+    return finite & ((F.array_max(vector) != 0) | (F.array_min(vector) != 0))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -222,7 +229,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dimension: int = D
     """
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<float>").alias("_v")).where(F.col("_id").isNotNull() & (F.size("_v") == dimension))
     centres, parts = _centres(rows, dimension)
-    hashed = rows.select("_id", F.xxhash64("_v").alias("_h"))
+    hashed = rows.where(_usable(F.col("_v"))).select("_id", F.xxhash64("_v").alias("_h"))
     hot = hashed.groupBy("_h").count().where(F.col("count") > COPIES).orderBy(F.desc("count"), "_h").limit(HOT).select("_h")
     copied = None
     if not hot.isEmpty():

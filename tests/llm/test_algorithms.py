@@ -60,6 +60,19 @@ def test_many_identical_vectors(spark, monkeypatch, copies):
     assert got[0] == [1, 2, 3, 4, 5] and got[3] == [0, 1, 2, 4, 5] and got[59] == [0, 1, 2, 3, 4] and len(got) == 100
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+def test_many_unusable_vectors(spark, monkeypatch, copies):
+    monkeypatch.setattr(neighbours, "COPIES", copies)
+    r = np.random.RandomState(3)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)] + [(100 + i, r.randn(4).tolist()) for i in range(40)]
+    zero, inf, nan = [0.0] * 4, float("inf"), float("nan")
+    bad = [zero, [0.0, -0.0, 0.0, 0.0], [nan, 1.0, 2.0, 3.0], [1.0, inf, 2.0, 3.0], [1.0, -inf, 2.0, 3.0], [1.0, None, 2.0, 3.0], [1.0, 2.0, 3.0]]
+    rows += [(1000 * (k + 1) + i, v) for k, v in enumerate(bad) for i in range(30)]
+    got = {x.id: list(x.near) for x in neighbours.nearest(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 5, 4).collect()}
+    assert got[59] == [0, 1, 2, 3, 4] and set(got) == {*range(60), *range(100, 140)}
+    assert all(set(near) <= set(got) for near in got.values())
+
+
 def test_packing_of_vectors_is_lossless():
     h = np.random.RandomState(4).randn(50, 16).astype(np.float16)
     assert (neighbours._unpack(neighbours._pack(h), 16) == h).all()
