@@ -165,3 +165,12 @@ def test_metadata_keeps_everything_else(spark):
     assert re.sub(r"\[NAME\]", "N", got[3].content) == "Reviewed by N last week." and set(got) == {1, 3}
     found = {tuple(r) for r in pii.mentions(df, "id", "content", "metadata", names).collect()}
     assert found == {(1, "metadata", "email"), (3, "content", "name")}
+
+
+def test_metadata_values_without_capital_or_digit(spark):
+    mails = ["vofothier_marta(at)mx.mepelm.example", "yannick.runarken [at] ponilm-fonark [dot] invalid", "seselmsen-n＠post.lezex-dosoth.test", "clara.lorelmen at mx dot mepelm dot example"]
+    rows = [(i, None, json.dumps({"page": 3, "cc": m}, ensure_ascii=False)) for i, m in enumerate(mails)]
+    df = spark.createDataFrame(rows, "id long, content string, metadata string")
+    names = spark.createDataFrame([("Niels", "given")], "name_part string, kind string")
+    assert {tuple(r) for r in pii.mentions(df, "id", "content", "metadata", names).collect()} == {(i, "metadata", "email") for i in range(len(mails))}
+    assert [json.loads(r.metadata) for r in pii.masked(df, "id", "content", "metadata", names).collect()] == [{"page": 3, "cc": "[EMAIL]"}] * len(mails)
