@@ -174,3 +174,9 @@ def test_metadata_values_without_capital_or_digit(spark):
     names = spark.createDataFrame([("Niels", "given")], "name_part string, kind string")
     assert {tuple(r) for r in pii.mentions(df, "id", "content", "metadata", names).collect()} == {(i, "metadata", "email") for i in range(len(mails))}
     assert [json.loads(r.metadata) for r in pii.masked(df, "id", "content", "metadata", names).collect()] == [{"page": 3, "cc": "[EMAIL]"}] * len(mails)
+
+
+def test_known_names_in_any_case_and_over_line_ends(tagger):
+    for text, name in [("filler. " * 20 + "reviewed by niels vahesard last week. " + "filler. " * 20, "niels vahesard"), ("the keys are with clara lorzeki since monday", "clara lorzeki"), ("Reviewed by Umberto\nVahesard last week.", "Umberto\nVahesard"), ("Reviewed by Umberto\r\nVahesard last week.", "Umberto\r\nVahesard")]:
+        assert [text[a:b] for a, b, kind in tagger.tag([text])[0] if kind == "name"] == [name], text
+    assert tagger.tag(["Thanks\nClara\nThe slow antenna"]) == [[]]
