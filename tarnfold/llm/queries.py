@@ -62,6 +62,12 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.classes(members, links, "id").withColumnRenamed("id", "chunk_id")
 
 
+def p4_path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per file: the class of equal sets its path is in, and the links of this."""
+    links, members = _paths(spark, sf_dir)
+    return similar.classes(members, links, "id").withColumnRenamed("id", "file_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of chunks on which a credential starts."""
     return credentials.locate(table(spark, sf_dir, "chunks"), "id", "content").select(F.col("id").alias("chunk_id"), "line_no").distinct()
@@ -110,7 +116,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_classes": p4_classes, "p4_path_classes": p4_path_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
 def oracle_sql() -> dict[str, str]:

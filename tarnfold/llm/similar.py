@@ -45,7 +45,7 @@ from tarnfold.storage import materialise
 #: Slots of the sketch of bit counts and its blocks; bits of the filter of keys to verify. Fixed sizes, so what is gathered is bounded.
 SLOTS, BLOCK = 1 << 24, 1 << 16
 FILTER = 1 << 26
-#: A class of equal sets up to so many members is paired out; a larger one is linked to its least id.
+#: Copies of one text, equal to the byte, up to which all are paired out; of more, only the least id is, and the others are linked to it.
 PAIRED = 64
 
 _SPLIT = re.compile(r"[ \t\r\n]+").split
@@ -155,22 +155,24 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
 
 
 def _survey(shape: tuple[int, int, int]):
-    """Members (_id, key) of the texts that take part, and blocks of the sketch of their bits."""
+    """Members (_id, key, same: a hash of the text) of the texts that take part, and blocks of the sketch of their bits."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint8)
-        names, kind = ["_id", "key", "block", "counts"], None
+        names, kind = ["_id", "key", "same", "block", "counts"], None
         for ids, texts in _texts(batches):
             kind = ids.type
             bits, begin = _shingler(*shape).bits(texts)
             has = np.diff(begin) > 0
             n = int(has.sum())
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(_keys(bits, begin)[has].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            same = np.fromiter((xxhash.xxh64_intdigest(texts[k]) for k in np.flatnonzero(has)), np.uint64, n)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(_keys(bits, begin)[has].view(np.int64)), pa.array(same.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
             slot, n = np.unique((bits % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
             total[slot] = np.minimum(total[slot].astype(np.int64) + n, 255)
         blocks = total.reshape(-1, BLOCK)
         for b in np.flatnonzero(blocks.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.array([int(b)], pa.int32()), pa.array([_squeeze(blocks[b])], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(b)], pa.int32()), pa.array([_squeeze(blocks[b])], pa.binary())], names)
 
     return run
 
@@ -285,15 +287,15 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     """Links between classes of equal sets, and the members of the classes.
 
     Links: key_a, key_b (of classes), similarity, once per pair with
-    ``threshold`` or more. Members: ``key`` and ``_class`` of every text that
-    takes part. Give either ``words`` or ``chars`` per shingle.
+    ``threshold`` or more. Members: ``key``, ``_class`` and ``_same`` (a
+    hash of the text itself) of every text that takes part. Give either ``words`` or ``chars`` per shingle.
     """
     if bool(words) == bool(chars) or not 0 < threshold <= 1:
         raise ValueError("give words or chars, and a threshold above 0 and at most 1")
     spark, shape, t = df.sparkSession, (words, chars, least), threshold
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & (F.length("_text") > 0))
-    survey = materialise(rows.mapInArrow(_survey(shape), f"_id {kind}, key long, block int, counts binary"), "survey")
+    survey = materialise(rows.mapInArrow(_survey(shape), f"_id {kind}, key long, same long, block int, counts binary"), "survey")
     costs = spark.sparkContext.broadcast(_costs(survey).tobytes())
     probes = rows.mapInArrow(_probe(costs, shape, t), _PROBES)
     a, b = probes.alias("a"), probes.alias("b")
@@ -311,7 +313,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     sets = rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits"))
     paired = candidates.join(sets.withColumnsRenamed({"key": "key_a", "bits": "bits_a"}), "key_a").join(sets.withColumnsRenamed({"key": "key_b", "bits": "bits_b"}), "key_b")
     links = paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double")
-    members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), F.col("key").alias("_class")).distinct(), "members")
+    members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), F.col("key").alias("_class"), F.col("same").alias("_same")).groupBy(key, "_class").agg(F.min("_same").alias("_same")), "members")
     return links, members
 
 
@@ -325,13 +327,17 @@ def classes(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """Pairs id_a < id_b: within classes and between linked classes.
 
-    A class of at most ``PAIRED`` members is paired out; a larger one, whose
-    texts are copies, is linked through its least id, so no link is lost.
+    All members are paired out but for copies equal to the byte of which there
+    are more than ``PAIRED``: of these the least id is paired, and the others are
+    linked to it, so no link between different texts is lost.
     """
-    sized = members.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
-    shared = materialise(members.join(sized.where("n > 1 and n <= %d" % PAIRED), "_class").select("_class", F.col(key).alias("id")), "copies")
+    copies = members.groupBy("_class", "_same").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
+    many = materialise(copies.where("n > %d" % PAIRED).select("_class", "_same", "least"), "copied")
+    beyond = members.join(many, ["_class", "_same"], "left").withColumn("_rest", F.col("least").isNotNull() & (F.col(key) != F.col("least")))
+    star = beyond.where("_rest").select(F.col("least").alias("id_a"), F.col(key).alias("id_b"))
+    few = materialise(beyond.where(~F.col("_rest")).select("_class", F.col(key).alias("id")), "copies")
+    sized = few.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_class")
+    shared = few.join(sized, "_class")
     inside = shared.alias("a").join(shared.alias("b"), (F.col("a._class") == F.col("b._class")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    star = members.join(sized.where("n > %d" % PAIRED), "_class").where(F.col(key) != F.col("least")).select(F.col("least").alias("id_a"), F.col(key).alias("id_b"))
-    few = members.join(sized, "_class").where((F.col("n") <= PAIRED) | (F.col(key) == F.col("least"))).select("_class", F.col(key).alias("id"))
     between = links.select("key_a", "key_b").join(few.withColumnsRenamed({"_class": "key_a", "id": "x"}), "key_a").join(few.withColumnsRenamed({"_class": "key_b", "id": "y"}), "key_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return inside.union(star).union(between).distinct()

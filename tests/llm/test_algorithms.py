@@ -128,6 +128,18 @@ def test_similar_paths_and_large_classes(spark):
         similar.similar(df, "id", "path", 0.6)
 
 
+def test_different_texts_of_a_large_class_are_paired_out(spark):
+    from tarnfold.llm import queries
+
+    texts = {i: "The Same Path"[: i % 13] + "the same path"[i % 13 :].upper() if i < 70 else f"the {'same ' * (i - 68)}path" for i in range(75)}
+    texts |= {100 + i: "the same path" for i in range(66)} | {200: "the same paths"}
+    shingles = lambda x: {x.lower()[i : i + 4] for i in range(len(x) - 3)}
+    want = {p for p in _pairs(texts, shingles, 0.6) if not {*p} & {*range(101, 166)}} | {(100, i) for i in range(101, 166)}
+    links, members = similar.similar(spark.createDataFrame(list(texts.items()), "id long, path string"), "id", "path", 0.6, chars=4)
+    assert {tuple(x) for x in similar.pairs(members, links, "id").collect()} == want
+    assert "p4_path_classes" in queries.queries()
+
+
 # Problem 7
 
 
