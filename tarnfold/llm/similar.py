@@ -3,19 +3,14 @@
 A record is a binary vector: its bits are the shingles it has. Records of
 sizes a >= b whose sets share a fraction t of their union differ in at most
 (a + b)(1 - t)/(1 + t) bits, and the smaller lacks at most d = a - ceil(t a)
-bits of the larger. By the general pigeonhole principle, if thresholds of -1
-or more are given to groups of the larger one's bits so that the sum of
-(threshold + 1) is d + 1, some group is missed in no more bits than its
-threshold; so some of the (threshold + 1) rarest bits of that group is shared.
-
-What a threshold costs is the number of candidates that its bits bring, as
-estimated by a sketch of all bits of the collection. The dynamic program over
-groups minimises the sum; since the cost of a group grows convexly with its
-threshold (its rarest bits come first), its optimum is reached by giving out
-the cheapest increments in order, which is what the code does. Rare bits that
-hang together (the shingles around one rare word) thereby get high thresholds
-and common ones -1. As the order of costs is the same for all records, the
-smaller record needs to be found under its own few cheapest bits only.
+bits of the larger. So of any d + 1 bits of the larger one some bit is shared.
+
+This is a prefix filter in one global order, which stands in for the published
+method's partitions of correlated bits, its thresholds per partition and its
+dynamic program; none of these is built. Each set's bits are sorted by their
+frequency in the collection, as estimated by a sketch, and the first d + 1
+(the rarest) are emitted. As the order is the same for all records, two
+similar sets share a bit that is among the first d + 1 of both.
 
 Candidates are probed by a join on bits, bounded by size, by what the
 positions in the order leave possible, and by the distance of parity sketches
