@@ -37,23 +37,23 @@ _NOUN = re.compile(rf"(?i){NOUNS}")
 # One of these, in lower case, stands in every line with a credential.
 TRIGGERS = ("pass", "pwd", "secret", "token", "key", "credential", "authorization", "kennwort", "contrase", "clave", "parola d", "wachtwoord", "hasł", "haslo", "lösenord", "senha", "пароль", "ключ доступа", "パスワード", "密码", "口令", "密碼", "://", "basic ", "bearer", "login", "log in", "benutzer", "username", "akia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat", "xox", "_live_", "aiza", "glpat", "eyj")
 
-_QUOTED = r"\"(?P<q1>[^\"\n]{4,400})\"|'(?P<q2>[^'\n]{4,400})'|`(?P<q3>[^`\n]{4,400})`"
-_BARE = r"(?P<bare>[^\s\"'`<>()\[\]{},;][^\s\"'`<>,]{3,400})"
+_QUOTED = r"\"(?P<q1>[^\"\n]{4,})\"|'(?P<q2>[^'\n]{4,})'|`(?P<q3>[^`\n]{4,})`"
+_BARE = r"(?P<bare>[^\s\"'`<>()\[\]{},;][^\s\"'`<>,]{3,})"
 _KEYED = rf"(?:{NOUNS}|(?<=[a-zA-Z_])_?key|(?<=[a-z])Key)"
 #: name = literal, "name": literal, name: literal, ENV NAME literal.
-_ASSIGNED = re.compile(rf"(?i:(?P<name>{_KEYED}(?:[_\-]?(?:id|value|default|prod|dev|test|old|new|\d))?)[\"']?\]?\s{{0,3}}(?::=|=>|=|:|\s(?:is|ist|est|es|är|to|jest|to jest|é|è|—|-)\s)\s{{0,3}})(?:{_QUOTED}|{_BARE})")
+_ASSIGNED = re.compile(rf"(?i:(?P<name>{_KEYED}(?:[_\-]?(?:id|value|default|prod|dev|test|old|new|\d))?)[\"']?\]?\s*(?::=|=>|=|:|\s(?:is|ist|est|es|är|to|jest|to jest|é|è|—|-)\s)\s*)(?:{_QUOTED}|{_BARE})")
 _ENV = re.compile(rf"\b(?:ENV|ARG|export|set|SET|setx)\s+(?P<name>[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|KEY|PASSWORD|PASSWD|PWD|PASS)[A-Z0-9_]*)[ =]+(?:{_QUOTED}|{_BARE})")
-_ATTRIBUTE = re.compile(r"(?i)(?:key|name|id)\s*=\s*\"(?P<name>[^\"]*(?:password|passwd|pwd|secret|token|apikey|accesskey|connectionkey|credential)[^\"]*)\"\s+value\s*=\s*\"(?P<q1>[^\"\n]{4,400})\"")
+_ATTRIBUTE = re.compile(r"(?i)(?:key|name|id)\s*=\s*\"(?P<name>[^\"]*(?:password|passwd|pwd|secret|token|apikey|accesskey|connectionkey|credential)[^\"]*)\"\s+value\s*=\s*\"(?P<q1>[^\"\n]{4,})\"")
 _OPTION = re.compile(rf"(?i)(?:--?(?:password|passwd|pass|token|secret|api-key|access-key)[ =]|\bsshpass\s+-p\s*|\blogin\s+\S+\s+password\s+|\b(?:curl|wget)\b[^\n]*?\s-u\s+[^\s:]+:)(?:{_QUOTED}|{_BARE})")
-_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@\"']*:(?P<bare>[^\s@/\"']{3,200})@")
-_HEADER = re.compile(r"(?i)\b(?:basic|bearer|token)\s+(?P<bare>[A-Za-z0-9+/_.\-]{12,2000}={0,2})")
-_HEADER_NAME = re.compile(r"(?i)\bx-(?:auth|api|access)[\w\-]*(?:token|key)\b[\"']?\s*[:=,]?\s*[\"']?(?P<bare>[A-Za-z0-9+/_.\-]{12,2000}={0,2})")
+_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@\"']*:(?P<bare>[^\s@/\"']{3,})@")
+_HEADER = re.compile(r"(?i)\b(?:basic|bearer|token)\s+(?P<bare>[A-Za-z0-9+/_.\-]{12,}={0,2})")
+_HEADER_NAME = re.compile(r"(?i)\bx-(?:auth|api|access)[\w\-]*(?:token|key)\b[\"']?\s*[:=,]?\s*[\"']?(?P<bare>[A-Za-z0-9+/_.\-]{12,}={0,2})")
 #: A credential word in prose; the literal follows within the sentence.
 _PROSE = re.compile(r"(?i)\b(?:passwords?|passphrase|passcode|api[ -]key|access[ -]key|secret|token|credentials?|kennwort|passwort|mot de passe|contrase(?:ñ|n)a|clave|wachtwoord|has(?:ł|l)o|lösenord(?:et)?|senha|пароль)\b|パスワード|密码|口令|密碼")
-_PROSE_REACH = 70
-_PROSE_TOKEN = re.compile(r"[^\s\"'`“”„()<>;\u3000-\u9fff\uff00-\uffef]{5,200}")
+_PROSE_TOKEN = re.compile(r"[^\s\"'`“”„()<>;\u3000-\u9fff\uff00-\uffef]{5,}")
 _SENTENCE = re.compile(r"[.!?](?=\s|$)|[。！？\n]")
-_LOGIN = re.compile(r"(?i)\b(?:log(?:in| in| on)(?: as| with)?|user(?:name)?|benutzer)\s+[\w.\-]+\s*[/:,]\s*(?P<bare>[^\s/,;()\"']{5,200})")
+_NEXT_WORD = re.compile(r"\s+([^\W\d_]+)\s")
+_LOGIN = re.compile(r"(?i)\b(?:log(?:in| in| on)(?: as| with)?|user(?:name)?|benutzer)\s+[\w.\-]+\s*[/:,]\s*(?P<bare>[^\s/,;()\"']{5,})")
 #: Formats that vendors give their tokens; they are secrets wherever they stand.
 _KNOWN = re.compile(r"(?<![\w+/.\-])(?P<bare>AKIA[A-Z0-9]{12,16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abpr]-[\w\-]{10,}|sk_live_\w{16,}|[a-z]{2,5}_live_\w{16,}|AIza[\w\-]{30,}|glpat-[\w\-]{16,}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]*|eyJ[\w\-]{20,}\.eyJ[\w\-]{10,})(?![\w+/])")
 
@@ -172,18 +172,26 @@ def _in_line(line: str, vocabulary: str | None) -> list[tuple[int, int]]:
         take(m)
     for m in _LOGIN.finditer(line):
         take(m, prose=True)
+    read = 0
     for m in _PROSE.finditer(line):
         if line[m.end() : m.end() + 1] in ("=", "_", "(", "-") or line[m.start() - 1 : m.start()] in ("_", "-") or line[m.end() : m.end() + 3].lstrip()[:1] == "=":
             continue
-        for t in _PROSE_TOKEN.finditer(line, m.end(), m.end() + _PROSE_REACH + 200):
-            if t.start() > m.end() + _PROSE_REACH or _SENTENCE.search(line, m.end(), t.start()):
+        if m.end() < read:
+            continue
+        stop = _SENTENCE.search(line, m.end())
+        end = stop.start() if stop else len(line)
+        for t in _PROSE_TOKEN.finditer(line, m.end()):
+            if t.start() > end:
                 break
             value = t.group().rstrip(".,:")
             a, b = t.start(), t.start() + len(value)
             if "=" not in value[:-2] and not _MAIL.search(value) and is_secret(value, vocabulary, prose=True):
                 if not any(a < e and s < b for s, e in out):
                     out.append((a, b))
-                break
+                if (after := _NEXT_WORD.match(line, b)) and after[1].istitle():  # a new sentence without a full stop between
+                    end = b
+                    break
+        read = end
     return out
 
 

@@ -180,3 +180,13 @@ def test_known_names_in_any_case_and_over_line_ends(tagger):
     for text, name in [("filler. " * 20 + "reviewed by niels vahesard last week. " + "filler. " * 20, "niels vahesard"), ("the keys are with clara lorzeki since monday", "clara lorzeki"), ("Reviewed by Umberto\nVahesard last week.", "Umberto\nVahesard"), ("Reviewed by Umberto\r\nVahesard last week.", "Umberto\r\nVahesard")]:
         assert [text[a:b] for a, b, kind in tagger.tag([text])[0] if kind == "name"] == [name], text
     assert tagger.tag(["Thanks\nClara\nThe slow antenna"]) == [[]]
+
+
+def test_credentials_of_any_length_and_all_of_a_sentence():
+    long = "".join(f"q{i}Zx{i * 7919 % 997}W" for i in range(120))
+    for text in (f'pwd = "{long}"', f"pwd = {long}", f"postgres://u:{long}@db/x", f"The password is {long}", f"password:          {long[:14]}"):
+        value = long[:14] if "  " in text else long
+        assert [text[a:b] for a, b in credentials.find(text)] == [value], text[:30]
+    far = "The password that " + "the whole team of the old office has used " * 3 + "is k7Rq2Wx9Lp and the other one is Zt4vB8nM2c, as before"
+    assert [far[a:b] for a, b in credentials.find(far)] == ["k7Rq2Wx9Lp", "Zt4vB8nM2c"]
+    assert len(credentials.find("The password is k7Rq2Wx9Lp The old timer overrides mopath-678 on holidays")) == 1
