@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,47 @@ def knn(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_col: str
     return (far if unique else far.groupBy(id_col).agg(F.min("distance").alias("distance"))).orderBy("distance", id_col).limit(k)
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
+    """Rows gathered to blocks of about ``size``: ids and vectors as lists."""
+    n = max(1, -(-rows.count() // size))
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return rows.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("_s")).select(F.col("_s.id").alias(f"{prefix}_ids"), F.col("_s.v").alias(f"{prefix}_vs"))
+
+
+def _nearest_of_blocks(k: int):
+    def run(batches):
+        for batch in batches:
+            for q_ids, q_vs, r_ids, r_vs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                ids, out = np.asarray(r_ids, np.int64), ([], [], [])
+                width = np.asarray([len(v) for v in r_vs])
+                same = {n: (ids[width == n], np.asarray([v for v in r_vs if len(v) == n], float)) for n in {len(v) for v in q_vs} & set(width.tolist())}
+                for q, v in zip(q_ids, q_vs):
+                    if len(v) in same:
+                        own, x = same[len(v)]
+                        far = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(1))
+                        best = [i for i in np.lexsort((own, far)) if not np.isnan(far[i])][:k]
+                        out[0].extend([q] * len(best)), out[1].extend(own[best].tolist()), out[2].extend(far[best].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "_id", "distance"])
+
+    return run
+
+
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = 512) -> DataFrame:
+    """The ``k`` nearest vectors of every row of ``queries`` (same columns): query_id, ``id_col``, distance, ties by id.
+
+    Blocks of queries meet blocks of all rows, so neither side is gathered whole. Vectors with null take no part.
+    """
+    whole = lambda df: df.select(id_col, vector_col).where(F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull())).dropDuplicates([id_col])
+    met = _blocks(whole(queries), id_col, vector_col, block, "q").crossJoin(_blocks(whole(vectors), id_col, vector_col, block, "r"))
+    found = met.mapInArrow(_nearest_of_blocks(k), "query_id long, _id long, distance double")
+    return best_k(found.withColumnRenamed("_id", id_col), "query_id", ["distance", id_col], k)
+
+
+def best_k(hits: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in the given order."""
+    return hits.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
+
+
 def described(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Hits joined with their chunks and files, rows repeated in these once; the few hits are the side that is sent around."""
     found = chunks.join(F.broadcast(hits), chunks["id"] == hits["chunk_id"]).select("chunk_id", *[c for c in hits.columns if c != "chunk_id"], "file_id", "content", "metadata", "chunk_index").dropDuplicates(["chunk_id"])

@@ -155,6 +155,13 @@ def knn_topk(spark, d):
     return _rounded(vector.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 30, "vec_id"), "distance")
 
 
+@query("SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 30")
+def knn_every_50th(spark, d):
+    """The thirty vectors nearest to each whose id is divisible by 50, exactly."""
+    rows = table(spark, d, "embeddings")
+    return _rounded(vector.knn_join(rows, rows.where("vec_id % 50 = 0"), 30, "vec_id"), "distance")
+
+
 _QV = f"{_V}, q AS (SELECT embedding::DOUBLE[] AS q FROM v ORDER BY chunk_id LIMIT 1), k AS (SELECT chunk_id, list_distance(embedding::DOUBLE[], q) AS distance FROM v, q WHERE NOT list_contains(list_transform(embedding, lambda x: isnan(x)), true) ORDER BY distance, chunk_id LIMIT 30)"
 _DESCRIBED = "g AS (SELECT k.chunk_id, k.distance, c.content, c.metadata, c.chunk_index, f.path, f.file_type FROM k JOIN c ON c.id = k.chunk_id JOIN f ON f.id = c.file_id)"
 
