@@ -6,9 +6,9 @@ keeps those not shadowed by a nearer one (``alpha`` times nearer to it than to
 the point), which leaves a few long, diverse edges. Edges are then mirrored
 and overfull lists pruned again. Beam search answers queries.
 
-All steps run over a batch of points at once. Shards are small, so that the
-similarities of a batch to the shard are one matrix product, from which the
-searches read.
+A search computes the similarities of the points it visits and of no others;
+so the work for a vector hardly depends on the size of the shard. All steps
+run over a batch of queries at once.
 """
 
 from __future__ import annotations
@@ -23,31 +23,46 @@ CANDIDATES = 48
 #: Entry points of a shard, those that a search starts from, and those offered to pruning as far neighbours.
 ENTRIES, STARTS, FAR = 128, 4, 8
 BATCH = 512
+#: Pairs compared at once: their rows stay in the cache.
+CHUNK = 512
 
 
-def beam_search(edges: np.ndarray, sims: np.ndarray, first: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Best points of each row of ``sims`` that a beam search over ``edges`` meets.
+def _dots(a: np.ndarray, rows: np.ndarray, b: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products of ``a[rows]`` with ``b[points]``."""
+    out = np.empty(len(rows), np.float32)
+    for c in range(0, len(rows), CHUNK):
+        part = slice(c, c + CHUNK)
+        np.einsum("ij,ij->i", a[rows[part]], b[points[part]], out=out[part])
+    return out
+
+
+def beam_search(edges: np.ndarray, z: np.ndarray, queries: np.ndarray, first: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
+    """Best points of each query that a beam search over ``edges`` meets.
 
-    ``sims``: (queries, points); ``first``: (queries, s) points to start from, -1 for
-    none. Returns ids (-1 where fewer) and similarities, best first. ``EXPAND``
+    ``z``: (points, dimension); ``queries``: (queries, dimension); ``first``:
+    (queries, s) points to start from, -1 for none. Returns ids (-1 where fewer),
+    similarities, best first, and the number of comparisons made. ``EXPAND``
     points of the beam are expanded in each step.
     """
-    n, points = sims.shape
-    rows = np.arange(n)[:, None]
+    n, points = len(queries), len(z)
     seen = np.zeros((n, points + 1), bool)
     seen[:, points] = True
     ids = np.full((n, beam), points, np.int32)
     best = np.full((n, beam), -9.0, np.float32)
     fresh = np.zeros((n, beam), bool)
     new = np.where(first < 0, points, first).astype(np.int32)
-    live = np.arange(n)
+    live, compared = np.arange(n), 0
     while True:
         r = live[:, None]
+        new[seen[r, new]] = points
         new = np.sort(new, axis=1)
         new[:, 1:][new[:, 1:] == new[:, :-1]] = points
-        new[seen[r, new]] = points
-        seen[r, new] = True
-        s = np.where(new == points, np.float32(-9), sims[r, np.minimum(new, points - 1)])
+        row, place = np.nonzero(new < points)
+        at = new[row, place]
+        seen[live[row], at] = True
+        s = np.full(new.shape, -9.0, np.float32)
+        s[row, place] = _dots(queries, live[row], z, at)
+        compared += len(at)
         all_ids = np.concatenate([ids[live], new], 1)
         all_best = np.concatenate([best[live], s], 1)
         all_fresh = np.concatenate([fresh[live], new != points], 1)
@@ -69,47 +84,49 @@ def beam_search(edges: np.ndarray, sims: np.ndarray, first: np.ndarray, beam: in
         new[new < 0] = points
     order = np.argsort(-best, axis=1, kind="stable")
     ids = np.take_along_axis(ids, order, 1)
-    return np.where(ids == points, -1, ids), np.take_along_axis(best, order, 1)
+    return np.where(ids == points, -1, ids), np.take_along_axis(best, order, 1), compared
 
 
-def prune(cand: np.ndarray, near: np.ndarray, table: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Relaxed distance pruning of candidate lists (rows, -1 padded, best first).
+def prune(cand: np.ndarray, near: np.ndarray, z: np.ndarray, own: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Relaxed distance pruning of candidate lists (rows, -1 padded).
 
-    ``near``: similarity of each candidate to its row's point; ``table``: all
-    similarities of the shard. Squared distances of unit vectors are 2 - 2s.
+    ``near``: inner product of each candidate with its row's point, whose squared
+    length is ``own``. Distances are squared.
     """
     rows, width = cand.shape
     out = np.full((rows, degree), -1, np.int32)
     filled = np.zeros(rows, np.int64)
-    own = 2 - 2 * near
     order = np.argsort(-near, axis=1, kind="stable")
-    cand, own = np.take_along_axis(cand, order, 1), np.take_along_axis(own, order, 1)
-    among = 2 - 2 * table[np.maximum(cand, 0)[:, :, None], np.maximum(cand, 0)[:, None, :]]
+    cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
+    v = z[np.maximum(cand, 0)]
+    size = np.einsum("ijk,ijk->ij", v, v)
+    far = own[:, None] + size - 2 * near
+    among = size[:, :, None] + size[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     dead = cand < 0
     for j in range(width):
-        take = ~dead[:, j] & (filled < degree)
-        which = np.flatnonzero(take)
+        which = np.flatnonzero(~dead[:, j] & (filled < degree))
         if len(which):
             out[which, filled[which]] = cand[which, j]
             filled[which] += 1
-            dead[which] |= alpha * alpha * among[which, j] <= own[which]
+            dead[which] |= alpha * alpha * among[which, j] <= far[which]
     return out
 
 
-def starts(sims: np.ndarray, entries: np.ndarray, most: int = STARTS) -> np.ndarray:
-    """For each row of ``sims`` the nearest of the entry points, ``most`` at most."""
-    near = sims[:, entries]
-    keep = np.argpartition(-near, min(most, len(entries)) - 1, axis=1)[:, : min(most, len(entries))]
-    return entries[keep].astype(np.int32)
+def starts(z: np.ndarray, queries: np.ndarray, entries: np.ndarray, most: int = STARTS) -> np.ndarray:
+    """For each query the nearest of the entry points, ``most`` at most."""
+    near = queries @ z[entries].T
+    most = min(most, len(entries))
+    return entries[np.argpartition(-near, most - 1, axis=1)[:, :most]].astype(np.int32)
 
 
-def build(table: np.ndarray, seed: int = 0, degree: int = DEGREE, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (points, degree), -1 padded, and the entry points of a shard with similarities ``table``."""
-    n = len(table)
+def build(z: np.ndarray, seed: int = 0, degree: int = DEGREE, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edges (points, degree), -1 padded, the entry points of a shard of vectors ``z``, and the comparisons made."""
+    n, compared = len(z), 0
     edges = np.full((n, degree), -1, np.int32)
     if n == 1:
-        return edges, np.zeros(1, np.int32)
+        return edges, np.zeros(1, np.int32), 0
     order = np.random.RandomState(seed).permutation(n)
+    size = np.einsum("ij,ij->i", z, z)
     first = order[: min(n, degree + 1)]
     edges[first, : len(first) - 1] = np.stack([first[first != p] for p in first])
     done = len(first)
@@ -117,19 +134,20 @@ def build(table: np.ndarray, seed: int = 0, degree: int = DEGREE, alpha: float =
         batch = order[done : done + min(done, n - done)]
         for a in range(0, len(batch), BATCH):
             part = batch[a : a + BATCH]
-            sims = table[part]
             entries = order[: min(done, ENTRIES)]
-            ids, near = beam_search(edges, sims, starts(sims, entries))
+            ids, near, m = beam_search(edges, z, z[part], starts(z, z[part], entries))
             far = np.broadcast_to(entries[:FAR], (len(part), min(FAR, len(entries))))
-            ids, near = np.concatenate([ids, far], 1), np.concatenate([near, np.take_along_axis(sims, far, 1)], 1)
-            edges[part] = prune(ids, near, table, degree, alpha)
-        _mirror(edges, batch, table, degree, alpha)
+            ids, near = np.concatenate([ids, far], 1), np.concatenate([near, z[part] @ z[entries[:FAR]].T], 1)
+            edges[part] = prune(ids, near, z, size[part], degree, alpha)
+            compared += m + len(part) * (len(entries) + ids.shape[1] ** 2 // 2)
+        compared += _mirror(edges, batch, z, size, degree, alpha)
         done += len(batch)
-    return edges, order[:ENTRIES].astype(np.int32)
+    return edges, order[:ENTRIES].astype(np.int32), compared
 
 
-def _mirror(edges: np.ndarray, batch: np.ndarray, table: np.ndarray, degree: int, alpha: float) -> None:
+def _mirror(edges: np.ndarray, batch: np.ndarray, z: np.ndarray, size: np.ndarray, degree: int, alpha: float) -> int:
     """Adds the reverse of the batch's edges, pruning lists that grow beyond ``degree``."""
+    n = len(z)
     source = np.repeat(batch, degree)
     target = edges[batch].ravel()
     ok = target >= 0
@@ -139,9 +157,9 @@ def _mirror(edges: np.ndarray, batch: np.ndarray, table: np.ndarray, degree: int
     held = old >= 0
     owner = np.concatenate([np.repeat(touched, held.sum(1)), target])
     other = np.concatenate([old[held], source])
-    key = np.unique(owner.astype(np.int64) * len(table) + other)
-    owner, other = key // len(table), key % len(table)
-    near = table[owner, other]
+    key = np.unique(owner.astype(np.int64) * n + other)
+    owner, other = key // n, key % n
+    near = _dots(z, owner, z, other)
     rank = np.lexsort((-near, owner))
     owner, other, near = owner[rank], other[rank], near[rank]
     begin = np.searchsorted(owner, touched)
@@ -157,4 +175,5 @@ def _mirror(edges: np.ndarray, batch: np.ndarray, table: np.ndarray, degree: int
     which = np.flatnonzero(over)
     for a in range(0, len(which), BATCH):
         w = which[a : a + BATCH]
-        edges[touched[w]] = prune(cand[w], sim[w], table, degree, alpha)
+        edges[touched[w]] = prune(cand[w], sim[w], z, size[touched[w]], degree, alpha)
+    return len(owner) + len(which) * CANDIDATES**2 // 2

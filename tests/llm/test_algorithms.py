@@ -26,13 +26,14 @@ def test_graph_recall():
     x = (r.randn(40, 32)[r.randint(0, 40, 3000)] + 0.7 * r.randn(3000, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     table = x @ x.T
-    edges, entries = graph.build(table)
-    ids, _ = graph.beam_search(edges, table, graph.starts(table, entries))
+    edges, entries, _ = graph.build(x)
+    ids, sims, compared = graph.beam_search(edges, x, x, graph.starts(x, x, entries))
+    assert compared < 3000 * 600 and np.mean(sims[:, 0] > 0.9999) > 0.95
     np.fill_diagonal(table, -9)
     truth = np.argsort(-table, 1)[:, :10]
     got = [[j for j in row if j != i][:10] for i, row in enumerate(ids)]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(truth, got)]) > 0.9
-    assert graph.build(table[:1, :1])[0].shape == (1, graph.DEGREE)
+    assert graph.build(x[:1])[0].shape == (1, graph.DEGREE)
 
 
 def test_nearest(spark):
@@ -51,6 +52,28 @@ def test_nearest(spark):
     assert all(p.id_a < p.id_b for p in pairs)
 
 
+def test_routing_costs_the_same_at_every_size():
+    z = neighbours.Sizes()
+    for count in (1, 200_000, 3_000_000, 9_000_000, 60_000_000, 10**9, 10**11):
+        levels = neighbours.plan(count)
+        assert all(n <= z.width for n in levels) and len(levels) <= (1 if count <= z.width * z.shard else 2 if count <= 10**9 else 3)
+        shards = int(np.prod(levels, dtype=np.int64))
+        # a shard, and so a graph, has no more vectors at any size, and a vector meets as many shards as there are levels, twice, at most
+        assert count / shards <= z.limit < z.graph
+        assert count < 10**6 or count / shards > z.shard / 3
+        assert sum(levels) <= z.width * len(levels)
+
+
+def test_nearest_over_several_levels(spark):
+    r = np.random.RandomState(4)
+    x = (3 * r.randn(12, 16)[r.randint(0, 12, 6000)] + r.randn(6000, 16)).astype(np.float16).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = {row.id: list(row.near) for row in neighbours.nearest(df, "id", "v", 10, 16, neighbours.Sizes(4, 400, 900, 1200)).collect()}
+    truth = _brute(np.arange(6000), x, 10)
+    assert set(got) == set(truth)
+    assert np.mean([len(set(got[i]) & set(truth[i])) / 10 for i in truth]) > 0.9
+
+
 @pytest.mark.parametrize("copies", [5, 1000])
 def test_many_identical_vectors(spark, monkeypatch, copies):
     monkeypatch.setattr(neighbours, "COPIES", copies)
