@@ -1,51 +1,72 @@
 """Problem 4: near-duplicate records with small edits.
 
-A record is a binary vector: its bits are the shingles it has. Records of
-sizes a >= b whose sets share a fraction t of their union differ in at most
-(a + b)(1 - t)/(1 + t) bits, and the smaller lacks at most d = a - ceil(t a)
-bits of the larger. So of any d + 1 bits of the larger one some bit is shared.
-
-This is a prefix filter in one global order, which stands in for the published
-method's partitions of correlated bits, its thresholds per partition and its
-dynamic program; none of these is built. Each set's bits are sorted by their
-frequency in the collection, as estimated by a sketch, and the first d + 1
-(the rarest) are emitted. As the order is the same for all records, two
-similar sets share a bit that is among the first d + 1 of both.
-
-Candidates are probed by a join on bits, bounded by size, by what the
-positions in the order leave possible, and by the distance of parity sketches
-(which never exceeds the number of differing bits), and the rest is verified
-exactly on the full sets. Nothing is approximate: a bit that the estimate
-calls unique is unique, all others only change the cost.
+A record is a binary vector: its bits are the shingles it has. The method is
+the general pigeonhole principle. Bits are grouped into partitions of
+correlated bits: a shingle belongs to the partition of its rarest part (the
+rarest of its words; of its triples of characters), so the shingles around one
+word, which come and go together, lie in one partition. Let b <= a be the
+sizes of two sets that share a fraction t of their union. The smaller then
+lacks at most d = b - ceil(t (a + b) / (1 + t)) bits in the larger. Give each
+partition g of the smaller a threshold T(g) >= -1 such that the T(g) + 1 sum
+to d + 1: in some partition the larger lacks at most T(g) of the smaller's
+bits.
+
+The thresholds are unequal and every record's own: a dynamic program picks
+those with the least estimated work, from counts of bits and parts in fixed
+sketches. In a partition of correlated bits the records that hold any of the
+k rarest bits are about those that hold the most common of these, so a
+threshold of k - 1 is estimated at that bit's count. Bits that the sketch
+calls unique lie in no other record and pay for a threshold by themselves.
+
+The larger set is indexed, the smaller probes: in a partition with threshold T
+the larger lacks at most T bits, so it holds one of the T + 1 rarest, and these
+are probed. The index has the bits that some record probes (a filter tells;
+what it lets through in error meets nothing). Probes meet the index by bit,
+bounded by size and by the units spent before; common bits are split by a
+salt. What meets is verified exactly on the full sets. The estimates change
+the cost only.
 
 Defined results: null, empty and short texts (fewer than ``least`` words) take
 no part; equal sets form one class, whose least id represents it; repeated ids
-count once; texts enter whole. An empty table gives no rows.
+count once; texts enter whole. An empty table gives no rows. Shingles are
+hashed to 52 bits.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.storage import materialise
 
-#: Slots of the sketch of bit counts and its blocks; bits of the filter of keys to verify. Fixed sizes, so what is gathered is bounded.
-SLOTS, BLOCK = 1 << 24, 1 << 16
-FILTER = 1 << 26
-#: Copies of one text, equal to the byte, up to which all are paired out; of more, only the least id is, and the others are linked to it.
+#: Slots of the sketches of bits and of parts, by the characters of all texts between these bounds, and their blocks; what is gathered is bounded.
+LEAST_SLOTS, MOST_SLOTS, BLOCK = 1 << 20, 1 << 26, 1 << 16
+#: Bits of the filters of probed bits and of keys to verify, by their number between these bounds.
+LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 29
+#: Records expected of one salt of a bit.
+SALTED = 4096
+#: Estimated work of a row that meets a probe, of a candidate, of a probe.
+MEET, CANDIDATE, PROBE = 1.0, 8.0, 20.0
+#: Units, beyond those of unique bits, that the dynamic program may spend in a partition.
+STEPS = 6
+#: Copies of one text, equal to the byte, that are paired out; later ones are linked to the least id.
 PAIRED = 64
 
-_SPLIT = re.compile(r"[ \t\r\n]+").split
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S = np.uint64(33)
+_S, _G = np.uint64(33), np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 52) - 1)
+#: Texts of one step: their numbers and 52 bits of a shingle sort as one number.
+_PACK = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,8 +78,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
+#: White space that Arrow parts words at or lower case that it forms otherwise than wanted; such texts take the slow way.
+_ODD = "[\\x0b\\x0cİΣ]"
+_SPLIT = re.compile(r"[ \t\r\n]+").split
+
+
 class Shingler:
-    """Bits of texts: ``words`` consecutive words, or ``chars`` consecutive characters, hashed to 64 bits."""
+    """Bits of texts: ``words`` consecutive words, or ``chars`` consecutive characters, hashed to 52 bits."""
 
     KEPT = 1 << 19
 
@@ -66,57 +92,77 @@ class Shingler:
         self.words, self.chars, self.least = words, chars, least
         self.code: dict[str, int] = {}
 
-    def _hash(self, word: str) -> int:
+    def _hashes(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        if len(self.code) > self.KEPT:
-            self.code.clear()
-        h = self.code[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct bits of all texts in a row, and where each text's begin."""
+        get, code = self.code.get, self.code
+        if len(code) > self.KEPT:
+            code.clear()
+        out = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            if (h := get(w)) is None:
+                h = code[w] = xxhash.xxh64_intdigest(w)
+            out[i] = h
+        return out
+
+    def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words or characters of all texts in a row, and their number in each text."""
+        if self.chars:
+            own = [t.lower() if t else "" for t in texts.to_pylist()]
+            return np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.asarray([len(t) for t in own], np.int64)
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD)
+        parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        flat, size = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        if pc.any(pc.equal(flat, "")).as_py():
+            keep = pc.not_equal(flat, "")
+            whose = np.repeat(np.arange(len(size)), size)[keep.to_numpy(zero_copy_only=False)]
+            flat, size = flat.filter(keep), np.bincount(whose, minlength=len(size))
+        coded = flat.dictionary_encode()
+        code = self._hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
+        which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(which):
+            slow = [[w for w in _SPLIT(texts[int(k)].as_py().lower()) if w] for k in which]
+            at = np.cumsum(size)[which]
+            code = np.insert(code, np.repeat(at, [len(w) for w in slow]), self._hashes([w for own in slow for w in own]))
+            size[which] = [len(w) for w in slow]
+        return code, size
+
+    def bits(self, texts: pa.Array, parts: bool = False):
+        """Sorted distinct bits of all texts in a row, and where each text's begin.
+
+        With ``parts`` also the parts of each bit: (bits, parts of a shingle).
+        """
         k = self.words or self.chars
-        get, parts, sizes = self.code.get, [], []
-        for t in texts:
-            if not t:
-                sizes.append(0)
-            elif self.words:
-                own = _SPLIT(t.lower())
-                if own and not own[0]:
-                    del own[0]
-                if own and not own[-1]:
-                    del own[-1]
-                if len(own) < max(self.least, k):
-                    sizes.append(0)
-                    continue
-                for w in own:
-                    parts.append(get(w) or self._hash(w))
-                sizes.append(len(own))
-            else:
-                own = t.lower()
-                if len(own) < max(self.least, k):
-                    sizes.append(0)
-                    continue
-                parts += map(ord, own)
-                sizes.append(len(own))
-        size = np.asarray(sizes, np.int64)
-        code = np.asarray(parts, np.uint64)
-        count = np.maximum(size - k + 1, 0)
-        if not count.sum():
-            return np.zeros(0, np.uint64), np.zeros(len(size) + 1, np.int64)
+        code, size = self._codes(texts)
+        count = np.where(size >= max(self.least, k), size - k + 1, 0)
+        total = int(count.sum())
+        if not total:
+            empty = np.zeros(0, np.uint64), np.zeros(len(size) + 1, np.int64)
+            return (*empty, np.zeros((0, 1), np.uint64)) if parts else empty
         owner = np.repeat(np.arange(len(size)), count)
-        first = np.cumsum(size) - size
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        h = np.zeros(len(at), np.uint64)
+        at = np.arange(total) + np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count)
+        h = np.zeros(total, np.uint64)
         for j in range(k):
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + code[at + j] + np.uint64(j + 1))
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[keep], owner[keep]
-        return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+            h = _mix(h * _G + code[at + j] + np.uint64(j + 1))
+        packed = (h & _LOW) | (owner.astype(np.uint64) << np.uint64(52))
+        if not parts:
+            packed.sort()
+            packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+        else:
+            order = np.argsort(packed)
+            packed = packed[order]
+            once = np.r_[True, packed[1:] != packed[:-1]]
+            packed, at = packed[once], at[order[once]]
+        begin = np.r_[0, np.cumsum(np.bincount((packed >> np.uint64(52)).astype(np.int64), minlength=len(size)))]
+        if not parts:
+            return packed & _LOW, begin
+        if self.words:
+            own = np.stack([code[at + j] for j in range(k)], 1)
+        else:
+            three = lambda p: _mix(_mix(_mix(code[p] + _G) * _G + code[p + 1]) * _G + code[p + 2])
+            own = np.stack([three(at + j) for j in range(max(1, k - 2))], 1) if k >= 3 else code[at][:, None]
+        return packed & _LOW, begin, own
 
 
 @functools.lru_cache(maxsize=4)
@@ -129,155 +175,307 @@ def _keys(bits: np.ndarray, begin: np.ndarray) -> np.ndarray:
     has = np.flatnonzero(np.diff(begin) > 0)
     out = np.zeros(len(begin) - 1, np.uint64)
     if len(has):
-        with np.errstate(over="ignore"):
-            out[has] = _mix(np.add.reduceat(_mix(bits ^ np.uint64(0x5851F42D4C957F2D)), begin[:-1][has]) + np.diff(begin)[has].astype(np.uint64))
+        out[has] = _mix(np.add.reduceat(_mix(bits ^ np.uint64(0x5851F42D4C957F2D)), begin[:-1][has]) + np.diff(begin)[has].astype(np.uint64))
     return out
 
 
-def _needed(size: np.ndarray, other: np.ndarray, t: float) -> np.ndarray:
-    """The overlap that sets of these sizes need."""
-    return np.ceil(t / (1 + t) * (size + other) - 1e-9).astype(np.int64)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, _PACK):
+            part = whole.slice(a, _PACK)
+            yield part.column(0), part.column(1)
+
+
+def _levels(count: np.ndarray) -> np.ndarray:
+    """Counts as levels: 0 none, 1 one, then eight to each doubling."""
+    return np.minimum(np.where(count <= 1, count, np.ceil(8 * np.log2(np.maximum(count, 1)) - 6)), 255).astype(np.uint8)
 
 
-_PACK = 4096
+#: The counts that the levels stand for.
+_COUNTS = np.where(np.arange(256) <= 1, np.arange(256), np.floor(2 ** ((np.arange(256) + 6) / 8) + 1e-6))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    for whole in batches:
-        for a in range(0, whole.num_rows, _PACK):
-            part = whole.slice(a, _PACK)
-            yield part.column(0), part.column(1).to_pylist()
+def _slot(x: np.ndarray, slots: int) -> np.ndarray:
+    return (_mix(x) & np.uint64(slots - 1)).astype(np.int64)
 
 
-def _survey(shape: tuple[int, int, int]):
-    """Members (_id, key, same: a hash of the text) of the texts that take part, and blocks of the sketch of their bits."""
+def _rarest(parts: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """For each bit the part with the least count, ties by hash: its partition."""
+    best, least = parts[:, 0].copy(), level[:, 0].copy()
+    for j in range(1, parts.shape[1]):
+        less = (level[:, j] < least) | ((level[:, j] == least) & (parts[:, j] < best))
+        best[less], least[less] = parts[less, j], level[less, j]
+    return best
+
+
+def _survey(shape: tuple[int, int, int], slots: int):
+    """Members (_id, key, same: a hash of the text) of the texts that take part, and blocks of the sketches of their bits and parts."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.uint8)
-        names, kind = ["_id", "key", "same", "block", "counts"], None
+        total = np.zeros(2 * slots, np.int32)
+        names, kind, counted = ["_id", "key", "same", "block", "data"], None, set()
         for ids, texts in _texts(batches):
             kind = ids.type
-            bits, begin = _shingler(*shape).bits(texts)
+            bits, begin, parts = _shingler(*shape).bits(texts, parts=True)
             has = np.diff(begin) > 0
             n = int(has.sum())
-            same = np.fromiter((xxhash.xxh64_intdigest(texts[k]) for k in np.flatnonzero(has)), np.uint64, n)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(_keys(bits, begin)[has].view(np.int64)), pa.array(same.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            slot, n = np.unique((bits % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
-            total[slot] = np.minimum(total[slot].astype(np.int64) + n, 255)
+            keys = _keys(bits, begin)
+            same = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts.filter(pa.array(has)).to_pylist()), np.uint64, n)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(keys[has].view(np.int64)), pa.array(same.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            fresh = _fresh(keys, has, counted)
+            owner = np.repeat(np.arange(len(fresh)), np.diff(begin))
+            use = fresh[owner]
+            for offset, x in ((0, bits[use]), (slots, _once(owner[use], parts[use]))):
+                slot, count = np.unique(_slot(x, slots), return_counts=True)
+                total[offset + slot] += count.astype(np.int32)
         blocks = total.reshape(-1, BLOCK)
         for b in np.flatnonzero(blocks.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(b)], pa.int32()), pa.array([_squeeze(blocks[b])], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(b)], pa.int32()), pa.array([_squeeze(_levels(blocks[b]))], pa.binary())], names)
 
     return run
 
 
-def _squeeze(block: np.ndarray) -> bytes:
-    import zlib
+def _once(owner: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The distinct parts of each record, all in a row."""
+    whose = np.repeat(owner, parts.shape[1]).astype(np.uint64)
+    packed = np.unique((whose << np.uint64(52)) | (_mix(parts.ravel()) & _LOW), return_index=True)[1]
+    return parts.ravel()[packed]
+
+
+def _fresh(keys: np.ndarray, has: np.ndarray, met: set[int]) -> np.ndarray:
+    """Which sets were not met before in this task; copies do the work of one."""
+    out = np.zeros(len(keys), bool)
+    for i in np.flatnonzero(has):
+        if (k := int(keys[i])) not in met:
+            met.add(k)
+            out[i] = True
+    return out
 
+
+def _squeeze(block: np.ndarray) -> bytes:
     return zlib.compress(block.tobytes(), 1)
 
 
 def _spread(data: bytes) -> np.ndarray:
-    import zlib
-
     return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
 def _add_blocks(part: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for data in part.column("counts").to_pylist():
-        total += _spread(data)
-    return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int32()), "counts": pa.array([_squeeze(_levels(total))], pa.binary())})
+    total = np.zeros(BLOCK)
+    for data in part.column("data").to_pylist():
+        total += _COUNTS[_spread(data)]
+    return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int32()), "data": pa.array([_squeeze(_levels(total))], pa.binary())})
 
 
-def _levels(count: np.ndarray) -> np.ndarray:
-    """Counts as cost levels: 0 none, 1 one, then eight to each doubling."""
-    return np.minimum(np.where(count <= 1, count, 8 * np.log2(np.maximum(count, 1)) - 6), 255).astype(np.uint8)
+def _join_blocks(part: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint8)
+    for data in part.column("data").to_pylist():
+        total |= _spread(data)
+    return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int32()), "data": pa.array([_squeeze(total)], pa.binary())})
 
 
-def _costs(survey: DataFrame) -> np.ndarray:
-    """The cost level of every slot of the sketch: a table of fixed size."""
-    parts = survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect()
-    out = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
-    for block, data in parts:
+def _gathered(blocks: DataFrame, size: int, combine) -> np.ndarray:
+    """``size`` bytes from compressed blocks of them, those of many tasks combined in two steps."""
+    kind = "block int, data binary"
+    some = blocks.select("block", "data", F.pmod(F.xxhash64("data"), F.lit(64)).alias("_s")).groupBy("block", "_s").applyInArrow(combine, kind)
+    out = np.zeros((max(1, size // BLOCK), BLOCK), np.uint8)
+    for block, data in some.groupBy("block").applyInArrow(combine, kind).collect():
         out[block] = _spread(data)
     return out.ravel()
 
 
-_PROBES = "bit long, key long, size int, place int, s0 long, s1 long, s2 long"
+def _filter(values: DataFrame, count: int) -> np.ndarray:
+    """A filter (bytes of bits) of a column of longs, sized by their number."""
+    size = _power(16.0 * count, LEAST_FILTER, MOST_FILTER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(size, bool)
+        for batch in batches:
+            mask[_slot(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)] = True
+        blocks = np.packbits(mask, bitorder="little").reshape(-1, BLOCK)
+        for b in np.flatnonzero(blocks.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([_squeeze(blocks[b])], pa.binary())], ["block", "data"])
+
+    return _gathered(values.mapInArrow(run, "block int, data binary"), size // 8, _join_blocks)
+
+
+def _in(mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+    spot = _slot(x, len(mask) * 8)
+    return (mask[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+
+
+def allocate(cost: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The units of each partition with the least total cost, by dynamic programming.
+
+    ``cost``: (records, partitions, units from 1 on), infinite where there are not so
+    many; ``need``: the units that each record must reach at least. Returns
+    (records, partitions) units; all -1 for a record that can't reach them.
+    """
+    records, groups, steps = cost.shape
+    most = int(need.max())
+    best = np.full((records, most + 1), np.inf, np.float32)
+    best[:, 0] = 0
+    chosen = np.zeros((groups, records, most + 1), np.uint8)
+    for g in range(groups):
+        now = best.copy()
+        for u in range(1, steps + 1):
+            c = cost[:, g, u - 1, None]
+            if not np.isfinite(c).any():
+                continue
+            low = min(u, most)
+            other = np.concatenate([np.broadcast_to(best[:, :1], (records, low)), best[:, : most + 1 - u]], 1) + c if u <= most else np.broadcast_to(best[:, :1], best.shape) + c
+            better = other < now
+            if better.any():
+                now = np.where(better, other, now)
+                chosen[g][better] = u
+        best = now
+    out = np.zeros((records, groups), np.int64)
+    left, flat = need.astype(np.int64).copy(), np.arange(records)
+    for g in range(groups - 1, -1, -1):
+        out[:, g] = chosen[g, flat, left]
+        left = np.maximum(left - out[:, g], 0)
+    out[~np.isfinite(best[flat, need])] = -1
+    return out
+
+
+def _plan(owner: np.ndarray, width: np.ndarray, unique: np.ndarray, counts: np.ndarray, begin: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Units (a threshold and one) of every partition of a batch.
+
+    Partitions stand in the order of their records: ``owner``, ``width`` (bits),
+    ``unique`` (of these), ``counts`` (of all bits, ascending within a partition)
+    from ``begin`` on; ``need``: units of each record. Unique bits are units for nothing.
+    """
+    n, records = len(owner), len(need)
+    first = np.searchsorted(owner, np.arange(records))
+    groups = np.diff(np.r_[first, n])
+    out = unique.copy()
+    need = need - np.bincount(owner, unique, minlength=records).astype(np.int64)
+    step = np.arange(STEPS)
+    at = begin[:, None] + unique[:, None] + step
+    f = counts[np.minimum(at, len(counts) - 1)]
+    work = PROBE * np.ceil(f / SALTED) + MEET * f
+    cost = np.where(unique[:, None] + step < width[:, None], np.cumsum(work, 1) + CANDIDATE * f, np.inf).astype(np.float32)
+    todo = np.flatnonzero((groups > 0) & (need > 0))
+    todo = todo[np.lexsort((groups[todo], need[todo]))]
+    a = 0
+    while a < len(todo):
+        b = a + 1
+        while b < len(todo) and b - a < 512 and (b - a) * groups[todo[a:b]].max() * (need[todo[b]] + 1) < 2_000_000 and need[todo[b]] <= need[todo[a]] + 4:
+            b = min(len(todo), b + 32)
+        rows = todo[a:b]
+        place = first[rows][:, None] + np.arange(groups[rows].max())[None]
+        real = np.arange(place.shape[1])[None] < groups[rows][:, None]
+        place = np.where(real, place, 0)
+        picked = allocate(np.where(real[:, :, None], cost[place], np.float32(np.inf)), need[rows])
+        picked = np.where(picked < 0, (width - unique)[place], picked)
+        out[place[real]] += picked[real]
+        a = b
+    return out
 
 
-def _probe(costs: Broadcast, shape: tuple[int, int, int], t: float):
+def _partitions(sketches: Broadcast, slots: int, shape: tuple[int, int, int], t: float):
+    """The probes of all texts: the bits of partitions with a threshold, and the units spent on partitions before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = np.frombuffer(costs.value, np.uint8)
+        levels = np.frombuffer(sketches.value, np.uint8)
+        met: set[int] = set()
         for _, texts in _texts(batches):
-            bits, begin = _shingler(*shape).bits(texts)
-            if not len(bits):
-                continue
-            size = np.diff(begin)
+            bits, begin, parts = _shingler(*shape).bits(texts, parts=True)
             keys = _keys(bits, begin)
-            _, first = np.unique(keys, return_index=True)
-            use = np.zeros(len(size), bool)
-            use[first] = True
-            use &= size > 0
+            fresh = _fresh(keys, np.diff(begin) > 0, met)
+            if not fresh.any():
+                continue
+            size = np.where(fresh, np.diff(begin), 0)
+            owner = np.repeat(np.arange(len(size)), np.diff(begin))
+            use = fresh[owner]
+            bits, parts, owner = bits[use], parts[use], owner[use]
+            part = _rarest(parts, levels[slots + _slot(parts, slots)])
+            count = _COUNTS[levels[_slot(bits, slots)]]
+            order = np.lexsort((count, part, owner))
+            bits, part, whose, count = bits[order], part[order], owner[order], count[order]
+            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (whose[1:] != whose[:-1])])
+            width, owner = np.diff(np.r_[first, len(bits)]), whose[first]
+            unique = np.add.reduceat((count <= 1).astype(np.int64), first)
+            need = np.where(size > 0, size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 1, 0)
+            units = _plan(owner, width, unique, count, first, need)
+            spent = units - unique
+            work = np.where(spent > 0, count[first + np.maximum(units, 1) - 1], 0)
+            rank = np.lexsort((work, owner))  # partitions in the order of their records, the cheapest first
+            before = np.empty(len(rank), np.int64)
+            sums = np.cumsum(units[rank]) - units[rank]
+            begins = np.searchsorted(owner, np.arange(len(size)))
+            before[rank] = sums - np.r_[sums, 0][np.minimum(begins, len(sums) - 1)][owner]
+            probes = np.flatnonzero(spent > 0)
+            of = np.repeat(probes, spent[probes])
+            at = first[of] + unique[of] + np.arange(len(of)) - np.repeat(np.cumsum(spent[probes]) - spent[probes], spent[probes])
+            salts = np.maximum(np.ceil(count[at] / SALTED), 1).astype(np.int64)
+            of, at = np.repeat(of, salts), np.repeat(at, salts)
+            salt = np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)
+            columns = [bits[at].view(np.int64), salt.astype(np.int32), keys[owner[of]].view(np.int64), size[owner[of]].astype(np.int32), before[of].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bit", "salt", "key", "size", "before"])
+
+    return run
+
+
+def _index(sketches: Broadcast, slots: int, probed: Broadcast, shape: tuple[int, int, int]):
+    """The bits of all texts that some text probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, mask = np.frombuffer(sketches.value, np.uint8), np.frombuffer(probed.value, np.uint8)
+        met: set[int] = set()
+        for _, texts in _texts(batches):
+            bits, begin = _shingler(*shape).bits(texts)
+            keys, size = _keys(bits, begin), np.diff(begin)
             owner = np.repeat(np.arange(len(size)), size)
-            level = cost[(bits % np.uint64(SLOTS)).astype(np.int64)]
-            order = np.lexsort((bits, level, owner))
-            place = np.arange(len(bits)) - np.repeat(begin[:-1], size)
-            most = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-            take = (place < most[owner]) & (level[order] > 1) & use[owner]
-            chosen, whose = bits[order][take], owner[take]
-            sketch = np.zeros((len(size), 3), np.uint64)
-            h = _mix(bits + np.uint64(0xA0761D6478BD642F))
-            spot = (h % np.uint64(192)).astype(np.int64)
-            odd = np.flatnonzero(np.bincount(owner * 192 + spot, minlength=len(size) * 192) & 1)
-            np.bitwise_or.at(sketch, (odd // 192, odd % 192 // 64), np.uint64(1) << (odd % 64).astype(np.uint64))
-            columns = [chosen.view(np.int64), keys[whose].view(np.int64), size[whose].astype(np.int32), place[take].astype(np.int32), *(sketch[whose, j].view(np.int64) for j in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bit", "key", "size", "place", "s0", "s1", "s2"])
+            use = np.flatnonzero(_in(mask, bits) & _fresh(keys, size > 0, met)[owner])
+            bits, owner = bits[use], owner[use]
+            count = _COUNTS[levels[_slot(bits, slots)]]
+            salt = keys[owner] % np.maximum(np.ceil(count / SALTED), 1).astype(np.uint64)
+            columns = [bits.view(np.int64), salt.astype(np.int32), keys[owner].view(np.int64), size[owner].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bit", "salt", "key", "size"])
 
     return run
 
 
 def _sets(wanted: Broadcast, shape: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(wanted.value, np.uint64)
+        mask = np.frombuffer(wanted.value, np.uint8)
+        met: set[int] = set()
         for _, texts in _texts(batches):
             bits, begin = _shingler(*shape).bits(texts)
             keys = _keys(bits, begin)
-            spot = (_mix(keys) % np.uint64(FILTER)).astype(np.int64)
-            hit = (np.diff(begin) > 0) & ((mask[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            which = np.flatnonzero(hit)
+            which = np.flatnonzero(_fresh(keys, (np.diff(begin) > 0) & _in(mask, keys), met))
             yield pa.RecordBatch.from_arrays([pa.array(keys[which].view(np.int64)), pa.array([bits[begin[k] : begin[k + 1]].tobytes() for k in which], pa.binary())], ["key", "bits"])
 
     return run
 
 
-def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        spot = (_mix(keys) % np.uint64(FILTER)).astype(np.int64)
-        word, at = np.unique(spot >> 6, return_inverse=True)
-        mask = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(mask, at, np.uint64(1) << (spot & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
-
-
 def _verify(t: float):
+    """Similarities of many pairs at once: what two sets share is what stands twice among the bits of a pair."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            out = np.zeros(batch.num_rows)
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(c[k].as_buffer(), np.uint64) for c in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out[k] = both / (len(x) + len(y) - both)
-            good = pa.array(out >= t - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(out).filter(good)], ["key_a", "key_b", "similarity"])
+        for whole in batches:
+            for c in range(0, whole.num_rows, 1024):
+                batch = whole.slice(c, 1024)
+                sides = [batch.column(j) for j in (2, 3)]
+                sizes = [pc.binary_length(s).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for s in sides]
+                bits = [np.frombuffer(b"".join(s.to_pylist()), np.uint64) | np.repeat(np.arange(batch.num_rows, dtype=np.uint64) << np.uint64(52), n) for s, n in zip(sides, sizes)]
+                both = np.sort(np.concatenate(bits))
+                twice = both[1:][both[1:] == both[:-1]] >> np.uint64(52)
+                shared = np.bincount(twice.astype(np.int64), minlength=batch.num_rows)
+                out = shared / np.maximum(sizes[0] + sizes[1] - shared, 1)
+                good = pa.array(out >= t - 1e-12)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(out).filter(good)], ["key_a", "key_b", "similarity"])
 
     return run
 
 
+def _power(n: float, least: int, most: int) -> int:
+    """The power of two from ``n`` on, between two others."""
+    return min(most, max(least, 1 << max(0, math.ceil(math.log2(max(n, 1))))))
+
+
 def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0, chars: int = 0, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal sets, and the members of the classes.
 
@@ -290,21 +488,20 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     spark, shape, t = df.sparkSession, (words, chars, least), threshold
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & (F.length("_text") > 0))
-    survey = materialise(rows.mapInArrow(_survey(shape), f"_id {kind}, key long, same long, block int, counts binary"), "survey")
-    costs = spark.sparkContext.broadcast(_costs(survey).tobytes())
-    probes = rows.mapInArrow(_probe(costs, shape, t), _PROBES)
-    a, b = probes.alias("a"), probes.alias("b")
-    need = F.ceil(t / (1 + t) * (F.col("a.size") + F.col("b.size")) - 1e-9)
-    apart = sum((F.bit_count(F.col(f"a.s{j}").bitwiseXOR(F.col(f"b.s{j}"))) for j in range(1, 3)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    close = (F.col("a.bit") == F.col("b.bit")) & ((F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.key") > F.col("b.key"))))
-    close &= (F.col("b.size") >= t * F.col("a.size") - 1e-9) & (F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= need)
-    close &= apart <= F.col("a.size") + F.col("b.size") - 2 * need
-    candidates = materialise(a.join(b, close).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct(), "candidates")
-    named = candidates.select("key_a").union(candidates.select("key_b")).mapInArrow(_spots, "word long, mask long").groupBy("word").agg(F.bit_or("mask")).collect()
-    mask = np.zeros(FILTER // 64, np.int64)
-    for word, value in named:
-        mask[word] = value
-    wanted = spark.sparkContext.broadcast(mask.tobytes())
+    letters = rows.agg(F.sum(F.length("_text"))).head()[0] or 0
+    slots = _power(letters / (5 if words else 1), LEAST_SLOTS, MOST_SLOTS)
+    survey = materialise(rows.mapInArrow(_survey(shape, slots), f"_id {kind}, key long, same long, block int, data binary"), "survey")
+    sketches = spark.sparkContext.broadcast(_gathered(survey.where("block is not null"), 2 * slots, _add_blocks).tobytes())
+    probes = materialise(rows.mapInArrow(_partitions(sketches, slots, shape, t), "bit long, salt int, key long, size int, before int"), "probes")
+    probed = spark.sparkContext.broadcast(_filter(probes.select("bit"), probes.count()).tobytes())
+    index = rows.mapInArrow(_index(sketches, slots, probed, shape), "bit long, salt int, key long, size int")
+    p, i = (df.repartition("bit", "salt").dropDuplicates(["bit", "salt", "key"]).alias(name) for df, name in ((probes, "p"), (index, "i")))
+    lacks = F.col("p.size") - F.ceil(t / (1 + t) * (F.col("p.size") + F.col("i.size")) - 1e-9)
+    met = (F.col("p.bit") == F.col("i.bit")) & (F.col("p.salt") == F.col("i.salt")) & ((F.col("p.size") < F.col("i.size")) | ((F.col("p.size") == F.col("i.size")) & (F.col("p.key") < F.col("i.key"))))
+    met &= (F.col("p.size") >= t * F.col("i.size") - 1e-9) & (F.col("p.before") <= lacks)
+    candidates = materialise(p.join(i, met).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct(), "candidates")
+    ends = candidates.select("key_a").union(candidates.select("key_b"))
+    wanted = spark.sparkContext.broadcast(_filter(ends, candidates.count()).tobytes())
     sets = rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits"))
     paired = candidates.join(sets.withColumnsRenamed({"key": "key_a", "bits": "bits_a"}), "key_a").join(sets.withColumnsRenamed({"key": "key_b", "bits": "bits_b"}), "key_b")
     links = paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double")
@@ -322,15 +519,20 @@ def classes(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """Pairs id_a < id_b: within classes and between linked classes.
 
-    All members are paired out but for copies equal to the byte of which there
-    are more than ``PAIRED``: of these the least id is paired, and the others are
-    linked to it, so no link between different texts is lost.
+    The members of all classes are paired out, but for copies equal to the byte:
+    of these the ``PAIRED`` least ids are, and each later one is linked to the
+    least, so no link between different texts is lost.
     """
-    copies = members.groupBy("_class", "_same").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
-    many = materialise(copies.where("n > %d" % PAIRED).select("_class", "_same", "least"), "copied")
-    beyond = members.join(many, ["_class", "_same"], "left").withColumn("_rest", F.col("least").isNotNull() & (F.col(key) != F.col("least")))
-    star = beyond.where("_rest").select(F.col("least").alias("id_a"), F.col(key).alias("id_b"))
-    few = materialise(beyond.where(~F.col("_rest")).select("_class", F.col(key).alias("id")), "copies")
+    text = ["_class", "_same"]
+    many = members.groupBy(*text).agg(F.count(F.lit(1)).alias("n")).where("n > %d" % PAIRED).select(*text)
+    of_many = members.join(many, text).withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64)))
+    for part in ([*text, "_s"], text):
+        of_many = of_many.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(key))).where("_r <= %d" % PAIRED)
+    front = materialise(of_many.groupBy(*text).agg(F.min(key).alias("least"), F.max(key).alias("most")), "front")
+    each = members.join(front, text, "left")
+    later = F.col("most").isNotNull() & (F.col(key) > F.col("most"))
+    star = each.where(later).select(F.col("least").alias("id_a"), F.col(key).alias("id_b"))
+    few = materialise(each.where(~later).select("_class", F.col(key).alias("id")), "copies")
     sized = few.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_class")
     shared = few.join(sized, "_class")
     inside = shared.alias("a").join(shared.alias("b"), (F.col("a._class") == F.col("b._class")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
