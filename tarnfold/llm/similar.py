@@ -22,8 +22,9 @@ The larger set is indexed, the smaller probes: in a partition with threshold T
 the larger lacks at most T bits, so it holds one of the T + 1 rarest, and these
 are probed. The index has the bits that some record probes (a filter tells;
 what it lets through in error meets nothing). Probes meet the index by bit,
-bounded by size and by the units spent before; common bits are split by a
-salt. What meets is verified exactly on the full sets. The estimates change
+bounded by size, by the units spent before and by the distance of parity
+sketches (never above the number of differing bits); common bits are split by
+a salt. What meets is verified exactly on the full sets. The estimates change
 the cost only.
 
 Defined results: null, empty and short texts (fewer than ``least`` words) take
@@ -59,6 +60,10 @@ SALTED = 4096
 MEET, CANDIDATE, PROBE = 1.0, 8.0, 20.0
 #: Units, beyond those of unique bits, that the dynamic program may spend in a partition.
 STEPS = 6
+#: Words of 64 bits of a record's parity sketch.
+PARITY = 3
+#: Equal sets above which only the one with the least id is probed and indexed, the most common first, so many at most (what is broadcast is bounded; others are met once per task).
+COPIES, HOT = 64, 100_000
 #: Copies of one text, equal to the byte, that are paired out; later ones are linked to the least id.
 PAIRED = 64
 
@@ -243,16 +248,23 @@ def _once(owner: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return parts.ravel()[packed]
 
 
-def _fresh(keys: np.ndarray, has: np.ndarray, met: set[int]) -> np.ndarray:
-    """Which sets were not met before in this task; copies do the work of one."""
+def _fresh(keys: np.ndarray, has: np.ndarray, met: set[int], ids: pa.Array | None = None, hot: dict | None = None) -> np.ndarray:
+    """Which sets were not met before in this task; copies do the work of one. Of a hot set only the row with its least id counts."""
     out = np.zeros(len(keys), bool)
     for i in np.flatnonzero(has):
-        if (k := int(keys[i])) not in met:
+        if (k := int(keys[i])) not in met and (not hot or k not in hot or hot[k] == ids[int(i)].as_py()):
             met.add(k)
             out[i] = True
     return out
 
 
+def _parity(bits: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
+    """Which of ``64 * PARITY`` places each record has an odd number of bits in: (records, ``PARITY``)."""
+    spot = (_mix(bits + _G) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = (np.bincount(owner * 64 * PARITY + spot, minlength=records * 64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(records, PARITY)
+
+
 def _squeeze(block: np.ndarray) -> bytes:
     return zlib.compress(block.tobytes(), 1)
 
@@ -305,6 +317,11 @@ def _in(mask: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (mask[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
+def _salts(count: np.ndarray) -> np.ndarray:
+    """Salts of bits by their estimated counts."""
+    return np.clip(np.ceil(count / SALTED), 1, 4095).astype(np.int64)
+
+
 def allocate(cost: np.ndarray, need: np.ndarray) -> np.ndarray:
     """The units of each partition with the least total cost, by dynamic programming.
 
@@ -354,7 +371,7 @@ def _plan(owner: np.ndarray, width: np.ndarray, unique: np.ndarray, counts: np.n
     step = np.arange(STEPS)
     at = begin[:, None] + unique[:, None] + step
     f = counts[np.minimum(at, len(counts) - 1)]
-    work = PROBE * np.ceil(f / SALTED) + MEET * f
+    work = PROBE * _salts(f) + MEET * f
     cost = np.where(unique[:, None] + step < width[:, None], np.cumsum(work, 1) + CANDIDATE * f, np.inf).astype(np.float32)
     todo = np.flatnonzero((groups > 0) & (need > 0))
     todo = todo[np.lexsort((groups[todo], need[todo]))]
@@ -374,22 +391,32 @@ def _plan(owner: np.ndarray, width: np.ndarray, unique: np.ndarray, counts: np.n
     return out
 
 
-def _partitions(sketches: Broadcast, slots: int, shape: tuple[int, int, int], t: float):
+_PARITIES = [f"s{j}" for j in range(PARITY)]
+_ROW = "bit long, key long, size int"
+
+
+def _salted(bits: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Bits with a salt in the places above them."""
+    return (bits | (salt.astype(np.uint64) << np.uint64(52))).view(np.int64)
+
+
+def _partitions(sketches: Broadcast, slots: int, hot: Broadcast, shape: tuple[int, int, int], t: float):
     """The probes of all texts: the bits of partitions with a threshold, and the units spent on partitions before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sketches.value, np.uint8)
         met: set[int] = set()
-        for _, texts in _texts(batches):
+        for ids, texts in _texts(batches):
             bits, begin, parts = _shingler(*shape).bits(texts, parts=True)
             keys = _keys(bits, begin)
-            fresh = _fresh(keys, np.diff(begin) > 0, met)
+            fresh = _fresh(keys, np.diff(begin) > 0, met, ids, hot.value)
             if not fresh.any():
                 continue
             size = np.where(fresh, np.diff(begin), 0)
             owner = np.repeat(np.arange(len(size)), np.diff(begin))
             use = fresh[owner]
             bits, parts, owner = bits[use], parts[use], owner[use]
+            parity = _parity(bits, owner, len(size))
             part = _rarest(parts, levels[slots + _slot(parts, slots)])
             count = _COUNTS[levels[_slot(bits, slots)]]
             order = np.lexsort((count, part, owner))
@@ -409,31 +436,33 @@ def _partitions(sketches: Broadcast, slots: int, shape: tuple[int, int, int], t:
             probes = np.flatnonzero(spent > 0)
             of = np.repeat(probes, spent[probes])
             at = first[of] + unique[of] + np.arange(len(of)) - np.repeat(np.cumsum(spent[probes]) - spent[probes], spent[probes])
-            salts = np.maximum(np.ceil(count[at] / SALTED), 1).astype(np.int64)
+            salts = _salts(count[at])
             of, at = np.repeat(of, salts), np.repeat(at, salts)
             salt = np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)
-            columns = [bits[at].view(np.int64), salt.astype(np.int32), keys[owner[of]].view(np.int64), size[owner[of]].astype(np.int32), before[of].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bit", "salt", "key", "size", "before"])
+            o = owner[of]
+            columns = [_salted(bits[at], salt), keys[o].view(np.int64), size[o].astype(np.int32), before[of].astype(np.int32), *parity[o].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bit", "key", "size", "before", *_PARITIES])
 
     return run
 
 
-def _index(sketches: Broadcast, slots: int, probed: Broadcast, shape: tuple[int, int, int]):
+def _index(sketches: Broadcast, slots: int, hot: Broadcast, probed: Broadcast, shape: tuple[int, int, int]):
     """The bits of all texts that some text probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, mask = np.frombuffer(sketches.value, np.uint8), np.frombuffer(probed.value, np.uint8)
         met: set[int] = set()
-        for _, texts in _texts(batches):
+        for ids, texts in _texts(batches):
             bits, begin = _shingler(*shape).bits(texts)
             keys, size = _keys(bits, begin), np.diff(begin)
             owner = np.repeat(np.arange(len(size)), size)
-            use = np.flatnonzero(_in(mask, bits) & _fresh(keys, size > 0, met)[owner])
+            parity = _parity(bits, owner, len(size))
+            use = np.flatnonzero(_in(mask, bits) & _fresh(keys, size > 0, met, ids, hot.value)[owner])
             bits, owner = bits[use], owner[use]
             count = _COUNTS[levels[_slot(bits, slots)]]
-            salt = keys[owner] % np.maximum(np.ceil(count / SALTED), 1).astype(np.uint64)
-            columns = [bits.view(np.int64), salt.astype(np.int32), keys[owner].view(np.int64), size[owner].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bit", "salt", "key", "size"])
+            salt = keys[owner] % _salts(count).astype(np.uint64)
+            columns = [_salted(bits, salt), keys[owner].view(np.int64), size[owner].astype(np.int32), *parity[owner].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bit", "key", "size", *_PARITIES])
 
     return run
 
@@ -492,13 +521,16 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     slots = _power(letters / (5 if words else 1), LEAST_SLOTS, MOST_SLOTS)
     survey = materialise(rows.mapInArrow(_survey(shape, slots), f"_id {kind}, key long, same long, block int, data binary"), "survey")
     sketches = spark.sparkContext.broadcast(_gathered(survey.where("block is not null"), 2 * slots, _add_blocks).tobytes())
-    probes = materialise(rows.mapInArrow(_partitions(sketches, slots, shape, t), "bit long, salt int, key long, size int, before int"), "probes")
-    probed = spark.sparkContext.broadcast(_filter(probes.select("bit"), probes.count()).tobytes())
-    index = rows.mapInArrow(_index(sketches, slots, probed, shape), "bit long, salt int, key long, size int")
-    p, i = (df.repartition("bit", "salt").dropDuplicates(["bit", "salt", "key"]).alias(name) for df, name in ((probes, "p"), (index, "i")))
-    lacks = F.col("p.size") - F.ceil(t / (1 + t) * (F.col("p.size") + F.col("i.size")) - 1e-9)
-    met = (F.col("p.bit") == F.col("i.bit")) & (F.col("p.salt") == F.col("i.salt")) & ((F.col("p.size") < F.col("i.size")) | ((F.col("p.size") == F.col("i.size")) & (F.col("p.key") < F.col("i.key"))))
-    met &= (F.col("p.size") >= t * F.col("i.size") - 1e-9) & (F.col("p.before") <= lacks)
+    copies = survey.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_id")).where("n > %d" % COPIES)
+    hot = spark.sparkContext.broadcast({r.key % (1 << 64): r._id for r in copies.orderBy(F.desc("n"), "key").limit(HOT).collect()})
+    parities = "".join(f", {s} long" for s in _PARITIES)
+    probes = materialise(rows.mapInArrow(_partitions(sketches, slots, hot, shape, t), f"{_ROW}, before int{parities}"), "probes")
+    probed = spark.sparkContext.broadcast(_filter(probes.select(F.col("bit").bitwiseAND(F.lit((1 << 52) - 1))), probes.count()).tobytes())
+    p, i = probes.alias("p"), rows.mapInArrow(_index(sketches, slots, hot, probed, shape), _ROW + parities).alias("i")
+    need = F.ceil(t / (1 + t) * (F.col("p.size") + F.col("i.size")) - 1e-9)
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"i.{s}"))) for s in _PARITIES])
+    met = (F.col("p.bit") == F.col("i.bit")) & ((F.col("p.size") < F.col("i.size")) | ((F.col("p.size") == F.col("i.size")) & (F.col("p.key") < F.col("i.key"))))
+    met &= (F.col("p.size") >= t * F.col("i.size") - 1e-9) & (F.col("p.before") <= F.col("p.size") - need) & (apart <= F.col("p.size") + F.col("i.size") - 2 * need)
     candidates = materialise(p.join(i, met).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct(), "candidates")
     ends = candidates.select("key_a").union(candidates.select("key_b"))
     wanted = spark.sparkContext.broadcast(_filter(ends, candidates.count()).tobytes())
