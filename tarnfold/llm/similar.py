@@ -57,7 +57,7 @@ LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 29
 #: Records expected of one salt of a bit.
 SALTED = 4096
 #: Estimated work of a row that meets a probe, of a candidate, of a probe.
-MEET, CANDIDATE, PROBE = 1.0, 8.0, 20.0
+MEET, CANDIDATE, PROBE = 1.0, 1.0, 20.0
 #: Units, beyond those of unique bits, that the dynamic program may spend in a partition.
 STEPS = 6
 #: Words of 64 bits of a record's parity sketch.
@@ -106,7 +106,7 @@ class Shingler:
         out = np.empty(len(words), np.uint64)
         for i, w in enumerate(words):
             if (h := get(w)) is None:
-                h = code[w] = xxhash.xxh64_intdigest(w)
+                h = code[w] = xxhash.xxh64_intdigest(w) >> 12
             out[i] = h
         return out
 
@@ -133,41 +133,55 @@ class Shingler:
             size[which] = [len(w) for w in slow]
         return code, size
 
-    def bits(self, texts: pa.Array, parts: bool = False):
+    def bits(self, texts: pa.Array, parts: str = ""):
         """Sorted distinct bits of all texts in a row, and where each text's begin.
 
-        With ``parts`` also the parts of each bit: (bits, parts of a shingle).
+        With ``parts`` = "each" also the parts of every bit (bits, parts of a
+        shingle); with "all" the distinct parts of every text in a row. Parts
+        have 52 bits too.
         """
         k = self.words or self.chars
         code, size = self._codes(texts)
-        count = np.where(size >= max(self.least, k), size - k + 1, 0)
+        takes = size >= max(self.least, k)
+        count = np.where(takes, size - k + 1, 0)
         total = int(count.sum())
         if not total:
             empty = np.zeros(0, np.uint64), np.zeros(len(size) + 1, np.int64)
             return (*empty, np.zeros((0, 1), np.uint64)) if parts else empty
+        first = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(size)), count)
-        at = np.arange(total) + np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count)
+        at = np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)
         h = np.zeros(total, np.uint64)
         for j in range(k):
             h = _mix(h * _G + code[at + j] + np.uint64(j + 1))
-        packed = (h & _LOW) | (owner.astype(np.uint64) << np.uint64(52))
-        if not parts:
-            packed.sort()
-            packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
-        else:
+        above = owner.astype(np.uint64) << np.uint64(52)
+        packed = (h & _LOW) | above
+        if parts == "each":
             order = np.argsort(packed)
             packed = packed[order]
             once = np.r_[True, packed[1:] != packed[:-1]]
-            packed, at = packed[once], at[order[once]]
+            packed, own = packed[once], self._parts(code, at[order[once]])
+        else:
+            packed.sort()
+            packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+            if parts == "all":
+                inner = np.sort(np.concatenate([own | above for own in self._parts(code, at).T]) if self.chars else (code | (np.repeat(np.arange(len(size)), size).astype(np.uint64) << np.uint64(52)))[np.repeat(takes, size)])
+                own = inner[np.r_[True, inner[1:] != inner[:-1]]] & _LOW
         begin = np.r_[0, np.cumsum(np.bincount((packed >> np.uint64(52)).astype(np.int64), minlength=len(size)))]
-        if not parts:
-            return packed & _LOW, begin
+        return (packed & _LOW, begin, own) if parts else (packed & _LOW, begin)
+
+    def _parts(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The words of the shingles that begin at ``at``, or their triples of characters."""
         if self.words:
-            own = np.stack([code[at + j] for j in range(k)], 1)
-        else:
-            three = lambda p: _mix(_mix(_mix(code[p] + _G) * _G + code[p + 1]) * _G + code[p + 2])
-            own = np.stack([three(at + j) for j in range(max(1, k - 2))], 1) if k >= 3 else code[at][:, None]
-        return packed & _LOW, begin, own
+            return np.stack([code[at + j] for j in range(self.words)], 1)
+        width = min(3, self.chars)
+        out = []
+        for j in range(self.chars - width + 1):
+            h = np.zeros(len(at), np.uint64)
+            for i in range(width):
+                h = _mix(h * _G + code[at + j + i] + np.uint64(1))
+            out.append(h & _LOW)
+        return np.stack(out, 1)
 
 
 @functools.lru_cache(maxsize=4)
@@ -222,18 +236,16 @@ def _survey(shape: tuple[int, int, int], slots: int):
         names, kind, counted = ["_id", "key", "same", "block", "data"], None, set()
         for ids, texts in _texts(batches):
             kind = ids.type
-            bits, begin, parts = _shingler(*shape).bits(texts, parts=True)
+            bits, begin, parts = _shingler(*shape).bits(texts, "all")
             has = np.diff(begin) > 0
             n = int(has.sum())
             keys = _keys(bits, begin)
             same = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts.filter(pa.array(has)).to_pylist()), np.uint64, n)
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(keys[has].view(np.int64)), pa.array(same.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            fresh = _fresh(keys, has, counted)
-            owner = np.repeat(np.arange(len(fresh)), np.diff(begin))
-            use = fresh[owner]
-            for offset, x in ((0, bits[use]), (slots, _once(owner[use], parts[use]))):
-                slot, count = np.unique(_slot(x, slots), return_counts=True)
-                total[offset + slot] += count.astype(np.int32)
+            for offset, x in ((0, bits[_fresh(keys, has, counted)[np.repeat(np.arange(len(keys)), np.diff(begin))]]), (slots, parts)):
+                slot = np.sort(_slot(x, slots))
+                begins = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
+                total[offset + slot[begins]] += np.diff(np.r_[begins, len(slot)]).astype(np.int32)
         blocks = total.reshape(-1, BLOCK)
         for b in np.flatnonzero(blocks.any(1)):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(b)], pa.int32()), pa.array([_squeeze(_levels(blocks[b]))], pa.binary())], names)
@@ -241,13 +253,6 @@ def _survey(shape: tuple[int, int, int], slots: int):
     return run
 
 
-def _once(owner: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The distinct parts of each record, all in a row."""
-    whose = np.repeat(owner, parts.shape[1]).astype(np.uint64)
-    packed = np.unique((whose << np.uint64(52)) | (_mix(parts.ravel()) & _LOW), return_index=True)[1]
-    return parts.ravel()[packed]
-
-
 def _fresh(keys: np.ndarray, has: np.ndarray, met: set[int], ids: pa.Array | None = None, hot: dict | None = None) -> np.ndarray:
     """Which sets were not met before in this task; copies do the work of one. Of a hot set only the row with its least id counts."""
     out = np.zeros(len(keys), bool)
@@ -392,7 +397,7 @@ def _plan(owner: np.ndarray, width: np.ndarray, unique: np.ndarray, counts: np.n
 
 
 _PARITIES = [f"s{j}" for j in range(PARITY)]
-_ROW = "bit long, key long, size int"
+_ROW = "key long, size int" + "".join(f", {s} long" for s in _PARITIES)
 
 
 def _salted(bits: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -407,7 +412,7 @@ def _partitions(sketches: Broadcast, slots: int, hot: Broadcast, shape: tuple[in
         levels = np.frombuffer(sketches.value, np.uint8)
         met: set[int] = set()
         for ids, texts in _texts(batches):
-            bits, begin, parts = _shingler(*shape).bits(texts, parts=True)
+            bits, begin, parts = _shingler(*shape).bits(texts, "each")
             keys = _keys(bits, begin)
             fresh = _fresh(keys, np.diff(begin) > 0, met, ids, hot.value)
             if not fresh.any():
@@ -418,10 +423,11 @@ def _partitions(sketches: Broadcast, slots: int, hot: Broadcast, shape: tuple[in
             bits, parts, owner = bits[use], parts[use], owner[use]
             parity = _parity(bits, owner, len(size))
             part = _rarest(parts, levels[slots + _slot(parts, slots)])
-            count = _COUNTS[levels[_slot(bits, slots)]]
-            order = np.lexsort((count, part, owner))
-            bits, part, whose, count = bits[order], part[order], owner[order], count[order]
-            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (whose[1:] != whose[:-1])])
+            level = levels[_slot(bits, slots)]
+            packed = (owner.astype(np.uint64) << np.uint64(52)) | ((part >> np.uint64(8)) << np.uint64(8)) | level
+            order = np.argsort(packed)
+            packed, bits, whose, count = packed[order] >> np.uint64(8), bits[order], owner[order], _COUNTS[level[order]]
+            first = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
             width, owner = np.diff(np.r_[first, len(bits)]), whose[first]
             unique = np.add.reduceat((count <= 1).astype(np.int64), first)
             need = np.where(size > 0, size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 1, 0)
@@ -436,12 +442,16 @@ def _partitions(sketches: Broadcast, slots: int, hot: Broadcast, shape: tuple[in
             probes = np.flatnonzero(spent > 0)
             of = np.repeat(probes, spent[probes])
             at = first[of] + unique[of] + np.arange(len(of)) - np.repeat(np.cumsum(spent[probes]) - spent[probes], spent[probes])
-            salts = _salts(count[at])
-            of, at = np.repeat(of, salts), np.repeat(at, salts)
-            salt = np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)
             o = owner[of]
-            columns = [_salted(bits[at], salt), keys[o].view(np.int64), size[o].astype(np.int32), before[of].astype(np.int32), *parity[o].T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bit", "key", "size", "before", *_PARITIES])
+            by = np.argsort(o, kind="stable")
+            at, of, o = at[by], of[by], o[by]
+            ends = np.searchsorted(o, np.arange(len(size) + 1))
+            has = np.flatnonzero(np.diff(ends))
+            offsets = pa.array(np.r_[ends[has], len(o)].astype(np.int32))
+            salts = _salts(count[at])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(c))) for c in (bits[at].view(np.int64), before[of].astype(np.int32), salts.astype(np.int32))]
+            columns = [pa.array(np.ascontiguousarray(c)) for c in (keys[has].view(np.int64), size[has].astype(np.int32), *parity[has].T)]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], ["key", "size", *_PARITIES, "bits", "befores", "salts"])
 
     return run
 
@@ -461,8 +471,8 @@ def _index(sketches: Broadcast, slots: int, hot: Broadcast, probed: Broadcast, s
             bits, owner = bits[use], owner[use]
             count = _COUNTS[levels[_slot(bits, slots)]]
             salt = keys[owner] % _salts(count).astype(np.uint64)
-            columns = [_salted(bits, salt), keys[owner].view(np.int64), size[owner].astype(np.int32), *parity[owner].T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["bit", "key", "size", *_PARITIES])
+            columns = [keys[owner].view(np.int64), size[owner].astype(np.int32), *parity[owner].T, _salted(bits, salt)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "size", *_PARITIES, "bit"])
 
     return run
 
@@ -523,10 +533,12 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     sketches = spark.sparkContext.broadcast(_gathered(survey.where("block is not null"), 2 * slots, _add_blocks).tobytes())
     copies = survey.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_id")).where("n > %d" % COPIES)
     hot = spark.sparkContext.broadcast({r.key % (1 << 64): r._id for r in copies.orderBy(F.desc("n"), "key").limit(HOT).collect()})
-    parities = "".join(f", {s} long" for s in _PARITIES)
-    probes = materialise(rows.mapInArrow(_partitions(sketches, slots, hot, shape, t), f"{_ROW}, before int{parities}"), "probes")
-    probed = spark.sparkContext.broadcast(_filter(probes.select(F.col("bit").bitwiseAND(F.lit((1 << 52) - 1))), probes.count()).tobytes())
-    p, i = probes.alias("p"), rows.mapInArrow(_index(sketches, slots, hot, probed, shape), _ROW + parities).alias("i")
+    probing = materialise(rows.mapInArrow(_partitions(sketches, slots, hot, shape, t), f"{_ROW}, bits array<long>, befores array<int>, salts array<int>"), "probes")
+    count = probing.agg(F.sum(F.size("bits"))).head()[0] or 0
+    probed = spark.sparkContext.broadcast(_filter(probing.select(F.explode("bits")), count).tobytes())
+    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("z.salts") - 1), lambda salt: F.col("z.bits").bitwiseOR(F.shiftleft(salt.cast("long"), 52))))
+    p = probing.select("key", "size", *_PARITIES, F.explode(F.arrays_zip("bits", "befores", "salts")).alias("z")).select("key", "size", *_PARITIES, F.col("z.befores").alias("before"), spread.alias("bit")).alias("p")
+    i = rows.mapInArrow(_index(sketches, slots, hot, probed, shape), f"{_ROW}, bit long").alias("i")
     need = F.ceil(t / (1 + t) * (F.col("p.size") + F.col("i.size")) - 1e-9)
     apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"i.{s}"))) for s in _PARITIES])
     met = (F.col("p.bit") == F.col("i.bit")) & ((F.col("p.size") < F.col("i.size")) | ((F.col("p.size") == F.col("i.size")) & (F.col("p.key") < F.col("i.key"))))
@@ -534,9 +546,9 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     candidates = materialise(p.join(i, met).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct(), "candidates")
     ends = candidates.select("key_a").union(candidates.select("key_b"))
     wanted = spark.sparkContext.broadcast(_filter(ends, candidates.count()).tobytes())
-    sets = rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits"))
+    sets = materialise(rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits")), "sets")
     paired = candidates.join(sets.withColumnsRenamed({"key": "key_a", "bits": "bits_a"}), "key_a").join(sets.withColumnsRenamed({"key": "key_b", "bits": "bits_b"}), "key_b")
-    links = paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double")
+    links = materialise(paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double"), "links")
     members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), F.col("key").alias("_class"), F.col("same").alias("_same")).groupBy(key, "_class").agg(F.min("_same").alias("_same")), "members")
     return links, members
 
