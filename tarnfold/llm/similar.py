@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.storage import materialise
 
-#: Slots of the sketches of bits and of parts, by the characters of all texts between these bounds, and their blocks; what is gathered is bounded.
+#: Slots of the sketch of bits, by the rows between these bounds, and their blocks; what is gathered is bounded. That of parts has a quarter.
 LEAST_SLOTS, MOST_SLOTS, BLOCK = 1 << 20, 1 << 26, 1 << 16
 #: Bits of the filters of probed bits and of keys to verify, by their number between these bounds.
 LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 29
@@ -88,27 +88,24 @@ _ODD = "[\\x0b\\x0cİΣ]"
 _SPLIT = re.compile(r"[ \t\r\n]+").split
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """52-bit hashes of strings that are not empty: sums of random numbers, one for each byte and place."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    byte = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    size, begin = np.diff(ends), ends[:-1] - ends[0]
+    place = np.arange(len(byte)) - np.repeat(begin, size)
+    each = _mix((byte | (place.astype(np.uint64) << np.uint64(8))) * _G + np.uint64(1))
+    return _mix(np.add.reduceat(each, begin) + size.astype(np.uint64)) >> np.uint64(12)
+
+
 class Shingler:
     """Bits of texts: ``words`` consecutive words, or ``chars`` consecutive characters, hashed to 52 bits."""
 
-    KEPT = 1 << 19
-
     def __init__(self, words: int, chars: int, least: int):
         self.words, self.chars, self.least = words, chars, least
-        self.code: dict[str, int] = {}
-
-    def _hashes(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        get, code = self.code.get, self.code
-        if len(code) > self.KEPT:
-            code.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            if (h := get(w)) is None:
-                h = code[w] = xxhash.xxh64_intdigest(w) >> 12
-            out[i] = h
-        return out
 
     def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words or characters of all texts in a row, and their number in each text."""
@@ -124,12 +121,12 @@ class Shingler:
             whose = np.repeat(np.arange(len(size)), size)[keep.to_numpy(zero_copy_only=False)]
             flat, size = flat.filter(keep), np.bincount(whose, minlength=len(size))
         coded = flat.dictionary_encode()
-        code = self._hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
+        code = _hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
         which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(which):
             slow = [[w for w in _SPLIT(texts[int(k)].as_py().lower()) if w] for k in which]
             at = np.cumsum(size)[which]
-            code = np.insert(code, np.repeat(at, [len(w) for w in slow]), self._hashes([w for own in slow for w in own]))
+            code = np.insert(code, np.repeat(at, [len(w) for w in slow]), _hashes(pa.array([w for own in slow for w in own], pa.string())))
             size[which] = [len(w) for w in slow]
         return code, size
 
@@ -184,11 +181,6 @@ class Shingler:
         return np.stack(out, 1)
 
 
-@functools.lru_cache(maxsize=4)
-def _shingler(words: int, chars: int, least: int) -> Shingler:
-    return Shingler(words, chars, least)
-
-
 def _keys(bits: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set that is not empty."""
     has = np.flatnonzero(np.diff(begin) > 0)
@@ -232,18 +224,18 @@ def _survey(shape: tuple[int, int, int], slots: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * slots, np.int32)
+        total = np.zeros(slots + slots // 4, np.int32)
         names, kind, counted = ["_id", "key", "same", "block", "data"], None, set()
         for ids, texts in _texts(batches):
             kind = ids.type
-            bits, begin, parts = _shingler(*shape).bits(texts, "all")
+            bits, begin, parts = Shingler(*shape).bits(texts, "all")
             has = np.diff(begin) > 0
             n = int(has.sum())
             keys = _keys(bits, begin)
             same = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts.filter(pa.array(has)).to_pylist()), np.uint64, n)
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(keys[has].view(np.int64)), pa.array(same.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-            for offset, x in ((0, bits[_fresh(keys, has, counted)[np.repeat(np.arange(len(keys)), np.diff(begin))]]), (slots, parts)):
-                slot = np.sort(_slot(x, slots))
+            for offset, width, x in ((0, slots, bits[_fresh(keys, has, counted)[np.repeat(np.arange(len(keys)), np.diff(begin))]]), (slots, slots // 4, parts)):
+                slot = np.sort(_slot(x, width))
                 begins = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
                 total[offset + slot[begins]] += np.diff(np.r_[begins, len(slot)]).astype(np.int32)
         blocks = total.reshape(-1, BLOCK)
@@ -295,7 +287,7 @@ def _join_blocks(part: pa.Table) -> pa.Table:
 def _gathered(blocks: DataFrame, size: int, combine) -> np.ndarray:
     """``size`` bytes from compressed blocks of them, those of many tasks combined in two steps."""
     kind = "block int, data binary"
-    some = blocks.select("block", "data", F.pmod(F.xxhash64("data"), F.lit(64)).alias("_s")).groupBy("block", "_s").applyInArrow(combine, kind)
+    some = blocks.select("block", "data", F.floor(F.spark_partition_id() / 64).alias("_s")).groupBy("block", "_s").applyInArrow(combine, kind)
     out = np.zeros((max(1, size // BLOCK), BLOCK), np.uint8)
     for block, data in some.groupBy("block").applyInArrow(combine, kind).collect():
         out[block] = _spread(data)
@@ -412,7 +404,7 @@ def _partitions(sketches: Broadcast, slots: int, hot: Broadcast, shape: tuple[in
         levels = np.frombuffer(sketches.value, np.uint8)
         met: set[int] = set()
         for ids, texts in _texts(batches):
-            bits, begin, parts = _shingler(*shape).bits(texts, "each")
+            bits, begin, parts = Shingler(*shape).bits(texts, "each")
             keys = _keys(bits, begin)
             fresh = _fresh(keys, np.diff(begin) > 0, met, ids, hot.value)
             if not fresh.any():
@@ -422,7 +414,7 @@ def _partitions(sketches: Broadcast, slots: int, hot: Broadcast, shape: tuple[in
             use = fresh[owner]
             bits, parts, owner = bits[use], parts[use], owner[use]
             parity = _parity(bits, owner, len(size))
-            part = _rarest(parts, levels[slots + _slot(parts, slots)])
+            part = _rarest(parts, levels[slots + _slot(parts, slots // 4)])
             level = levels[_slot(bits, slots)]
             packed = (owner.astype(np.uint64) << np.uint64(52)) | ((part >> np.uint64(8)) << np.uint64(8)) | level
             order = np.argsort(packed)
@@ -463,7 +455,7 @@ def _index(sketches: Broadcast, slots: int, hot: Broadcast, probed: Broadcast, s
         levels, mask = np.frombuffer(sketches.value, np.uint8), np.frombuffer(probed.value, np.uint8)
         met: set[int] = set()
         for ids, texts in _texts(batches):
-            bits, begin = _shingler(*shape).bits(texts)
+            bits, begin = Shingler(*shape).bits(texts)
             keys, size = _keys(bits, begin), np.diff(begin)
             owner = np.repeat(np.arange(len(size)), size)
             parity = _parity(bits, owner, len(size))
@@ -482,7 +474,7 @@ def _sets(wanted: Broadcast, shape: tuple[int, int, int]):
         mask = np.frombuffer(wanted.value, np.uint8)
         met: set[int] = set()
         for _, texts in _texts(batches):
-            bits, begin = _shingler(*shape).bits(texts)
+            bits, begin = Shingler(*shape).bits(texts)
             keys = _keys(bits, begin)
             which = np.flatnonzero(_fresh(keys, (np.diff(begin) > 0) & _in(mask, keys), met))
             yield pa.RecordBatch.from_arrays([pa.array(keys[which].view(np.int64)), pa.array([bits[begin[k] : begin[k + 1]].tobytes() for k in which], pa.binary())], ["key", "bits"])
@@ -527,10 +519,9 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     spark, shape, t = df.sparkSession, (words, chars, least), threshold
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & (F.length("_text") > 0))
-    letters = rows.agg(F.sum(F.length("_text"))).head()[0] or 0
-    slots = _power(letters / (5 if words else 1), LEAST_SLOTS, MOST_SLOTS)
+    slots = _power(64.0 * df.count(), LEAST_SLOTS, MOST_SLOTS)
     survey = materialise(rows.mapInArrow(_survey(shape, slots), f"_id {kind}, key long, same long, block int, data binary"), "survey")
-    sketches = spark.sparkContext.broadcast(_gathered(survey.where("block is not null"), 2 * slots, _add_blocks).tobytes())
+    sketches = spark.sparkContext.broadcast(_gathered(survey.where("block is not null"), slots + slots // 4, _add_blocks).tobytes())
     copies = survey.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_id")).where("n > %d" % COPIES)
     hot = spark.sparkContext.broadcast({r.key % (1 << 64): r._id for r in copies.orderBy(F.desc("n"), "key").limit(HOT).collect()})
     probing = materialise(rows.mapInArrow(_partitions(sketches, slots, hot, shape, t), f"{_ROW}, bits array<long>, befores array<int>, salts array<int>"), "probes")
@@ -546,7 +537,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, words: int = 0
     candidates = materialise(p.join(i, met).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct(), "candidates")
     ends = candidates.select("key_a").union(candidates.select("key_b"))
     wanted = spark.sparkContext.broadcast(_filter(ends, candidates.count()).tobytes())
-    sets = materialise(rows.mapInArrow(_sets(wanted, shape), "key long, bits binary").groupBy("key").agg(F.any_value("bits").alias("bits")), "sets")
+    sets = materialise(rows.mapInArrow(_sets(wanted, shape), "key long, bits binary"), "sets").groupBy("key").agg(F.any_value("bits").alias("bits"))
     paired = candidates.join(sets.withColumnsRenamed({"key": "key_a", "bits": "bits_a"}), "key_a").join(sets.withColumnsRenamed({"key": "key_b", "bits": "bits_b"}), "key_b")
     links = materialise(paired.select("key_a", "key_b", "bits_a", "bits_b").mapInArrow(_verify(t), "key_a long, key_b long, similarity double"), "links")
     members = materialise(survey.where("key is not null").select(F.col("_id").alias(key), F.col("key").alias("_class"), F.col("same").alias("_same")).groupBy(key, "_class").agg(F.min("_same").alias("_same")), "members")
