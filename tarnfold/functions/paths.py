@@ -7,15 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Suffixes of each type of file.
-TYPES = {
-    "pdf": [".pdf"],
-    "docx": [".docx"],
-    "markdown": [".md", ".markdown"],
-    "text": ".txt .rst .csv .tsv .json .yaml .yml .toml .xml .html .htm .css .js .ts .jsx .tsx .py .sh .bash .zsh .go .rs .java .c .h .cpp .hpp .rb .pl .php .sql .r .lua .ini .cfg .conf .env .log".split(),
-    "image": ".jpg .jpeg .png .gif .bmp .webp .tiff .tif .heic .heif".split(),
-    "video": ".mp4 .mov .avi .mkv .webm".split(),
-}
+# Suffixes of each type of file. Markdown comes before text, which has its suffixes too.
+TEXT = [
+    ".txt", ".md", ".markdown", ".rst", ".csv", ".tsv", ".json", ".yaml", ".yml", ".toml",
+    ".ini", ".cfg", ".py", ".js", ".ts", ".go", ".rs", ".java", ".c", ".cpp",
+    ".h", ".sh", ".bash", ".zsh", ".fish", ".html", ".htm", ".xml", ".svg", ".sql",
+    ".r", ".rb", ".pl", ".lua", ".tex", ".bib", ".org", ".log", ".conf", ".env",
+]
+IMAGE = [".jpg", ".jpeg", ".png", ".gif", ".heic", ".heif", ".webp", ".bmp", ".tiff", ".tif"]
+VIDEO = [".mp4", ".mov", ".avi", ".webm", ".mkv"]
+TYPES = {"pdf": [".pdf"], "docx": [".docx"], "markdown": [".md", ".markdown"], "text": TEXT, "image": IMAGE, "video": VIDEO}
 NEEDS_CAPTION = ("image", "video")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,7 +40,7 @@ def file_type(path: Column) -> Column:
 
 def supported(captions: bool) -> list[str]:
     """Suffixes that are indexed; images and videos need a captioning backend."""
-    return sorted(s for kind, suffixes in TYPES.items() if captions or kind not in NEEDS_CAPTION for s in suffixes)
+    return sorted({s for kind, suffixes in TYPES.items() if captions or kind not in NEEDS_CAPTION for s in suffixes})
 
 
 def glob_regex(patterns: list[str] | tuple[str, ...]) -> str:

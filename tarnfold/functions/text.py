@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A character that is no white space; with the four separator controls the class is exactly Unicode's.
 NON_BLANK = r"(?U)[^\s\x1c-\x1f]"
-# Accented letters of Latin-1 and their bases, as the keyword index folds them.
-ACCENTED, BASES = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# Combining marks that the keyword index drops, and letters that it takes for others.
+MARKS = "".join(chr(c) for lo, hi in ((0x300, 0x304), (0x306, 0x30C), (0x30F, 0x30F), (0x311, 0x311), (0x31B, 0x31B), (0x323, 0x328), (0x32D, 0x32E), (0x330, 0x331)) for c in range(lo, hi + 1))
+_OTHERS = dict(zip("µſςϐϑϕϖϰϱϵ", "μsσβθφπκρε"))
+
+
+def _folds() -> dict[str, str]:
+    """Lower-case letters that are an ASCII letter with one mark, and this letter."""
+    out = dict(_OTHERS)
+    for c in map(chr, range(0x80, 0x1F00)):
+        parts = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.category(parts[1]) == "Mn":
+            out[c] = parts[0]
+    return out
+
+
+FOLDS = _folds()
+ACCENTED, BASES = "".join(FOLDS), "".join(FOLDS.values())
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -32,5 +49,5 @@ def windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of the keyword index: runs of letters and digits, lower case, accents folded."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, BASES), F.lit(TOKEN), F.lit(0))
+    """Tokens of the keyword index: runs of letters and digits, lower case, letters with one accent folded, combining marks dropped."""
+    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED + MARKS, BASES), F.lit(TOKEN), F.lit(0))

@@ -2,8 +2,11 @@
 
 A query is parsed on the driver into an expression over the token array of a
 row. One aggregation gathers the corpus statistics (rows, tokens, rows per
-phrase), which is one row; scoring is a projection and a top-k. No postings
-are shuffled for a query.
+phrase), which is one row; scoring is a projection and a top-k.
+
+Over texts (``search``) the token array is made for every row. Over a stored
+index (``lookup``) only the postings of the query's words are read, from the
+buckets that hold them, and the array of a row is filled at their positions.
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.functions.text import ACCENTED, BASES, tokens
+from tarnfold.functions.text import FOLDS, MARKS, tokens
 
 # BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR, NEAR_DEFAULT = 1.2, 0.75, 1e-6, 10
-_FOLD = str.maketrans(ACCENTED, BASES)
+#: Buckets of the stored index.
+BUCKETS = 64
+_FOLD = str.maketrans({**FOLDS, **dict.fromkeys(MARKS)})
 
 
 class QueryError(ValueError):
@@ -254,17 +259,28 @@ def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", te
         if strict:
             raise
         return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    found = node.all_phrases()
-    phrases = [p for p, _ in found]
     t = F.col("_t")
-    counted = rows.where(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("_t"))
-    counted = counted.select(id_col, F.size(t).alias("_dl"), node.matches(t).alias("_hit"), *[p.count(t).alias(f"_f{k}") for k, p in enumerate(phrases)], *[_within(above, t).alias(f"_w{k}") for k, (_, above) in enumerate(found)])
-    counted = counted.withColumns({f"_e{k}": F.when(F.col(f"_w{k}"), F.col(f"_f{k}")).otherwise(0) for k in range(len(found))})
+    whole = rows.where(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("_t"))
+    counted = _counted(whole.withColumn("_dl", F.size(t)), node, id_col)
     if not unique:
         counted = counted.dropDuplicates([id_col])
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(phrases))])
+    totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"))
+    return _scored(counted, totals, node, id_col, limit)
+
+
+def _counted(rows: DataFrame, node: Node, id_col: str) -> DataFrame:
+    """Hits and counts of all phrases in rows of tokens ``_t`` and length ``_dl``."""
+    found, t = node.all_phrases(), F.col("_t")
+    out = rows.select(id_col, "_dl", node.matches(t).alias("_hit"), *[p.count(t).alias(f"_f{k}") for k, (p, _) in enumerate(found)], *[_within(above, t).alias(f"_w{k}") for k, (_, above) in enumerate(found)])
+    return out.withColumns({f"_e{k}": F.when(F.col(f"_w{k}"), F.col(f"_f{k}")).otherwise(0) for k in range(len(found))})
+
+
+def _scored(counted: DataFrame, totals: DataFrame, node: Node, id_col: str, limit: int) -> DataFrame:
+    """The best hits; ``totals``: one row of the rows of the corpus and their mean length."""
+    n = len(node.all_phrases())
+    stats = counted.agg(F.count(F.lit(1)).alias("_any"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(n)]).crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
-    for k in range(len(found)):
+    for k in range(n):
         idf = F.log((F.col("_n") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
         idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
         f = F.col(f"_e{k}")
@@ -273,6 +289,52 @@ def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", te
     return hits.orderBy("score", id_col).limit(limit)
 
 
+def bucket(token: Column) -> Column:
+    """The bucket of the stored index that a token is in."""
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def indexed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of the stored index: bucket, token, chunk_id, length of the chunk in tokens, positions of the token."""
+    t = F.col("_t")
+    own = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("chunk_id"), tokens(F.col(text_col)).alias("_t"))
+    each = own.select("chunk_id", F.size(t).alias("dl"), F.explode(F.array_distinct(t)).alias("token"), "_t")
+    return each.select(bucket(F.col("token")).alias("bucket"), "token", "chunk_id", "dl", F.array_compact(F.transform("_t", lambda x, i: F.when(x == F.col("token"), i))).alias("positions"))
+
+
+def corpus(rows: DataFrame, text_col: str) -> DataFrame:
+    """One row of corpus statistics: n rows, n tokens."""
+    return rows.where(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(tokens(F.col(text_col)))), F.lit(0)).cast("long").alias("tokens"))
+
+
+def lookup(index: DataFrame, stats: DataFrame, query: str, limit: int, id_col: str = "chunk_id", strict: bool = False) -> DataFrame:
+    """``search`` over a stored index: reads the postings of the query's words only.
+
+    ``index``: rows of ``indexed``; ``stats``: columns n and tokens, added up.
+    """
+    try:
+        node = parse(query)
+    except QueryError:
+        if strict:
+            raise
+        return index.select(F.col("chunk_id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
+    words, starts = set(), set()
+    for p, _ in node.all_phrases():
+        words |= set(p.words[: len(p.words) - p.prefix])
+        starts |= set(p.words[-1:] if p.prefix else ())
+    wanted = F.lit(False)
+    if words:
+        in_bucket = F.col("bucket").isin([r[0] for r in index.sparkSession.createDataFrame([(w,) for w in sorted(words)], "w string").select(bucket(F.col("w"))).collect()])
+        wanted = wanted | (in_bucket & F.col("token").isin(sorted(words)))
+    for w in sorted(starts):
+        wanted = wanted | F.col("token").startswith(w)
+    read = index.where(wanted).groupBy("chunk_id").agg(F.first("dl").alias("_dl"), F.collect_list(F.transform("positions", lambda i: F.struct(i.alias("i"), F.col("token").alias("w")))).alias("_at"))
+    at = F.map_from_entries(F.flatten("_at"))
+    rows = read.select(F.col("chunk_id").alias(id_col), "_dl", F.transform(F.sequence(F.lit(0), F.col("_dl") - 1), lambda i: F.try_element_at(at, i)).alias("_t"))
+    totals = stats.agg(F.sum("n").alias("_n"), (F.sum("tokens") / F.sum("n")).alias("_avg"))
+    return _scored(_counted(rows, node, id_col), totals, node, id_col, limit)
+
+
 def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Token, id, frequency and positions: the keyword index itself."""
     each = rows.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))

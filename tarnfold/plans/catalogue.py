@@ -20,6 +20,7 @@ from tarnfold.functions.exif import gps_column
 from tarnfold.operators import catalog, fulltext, hybrid, sync, vector
 from tarnfold.sources import scan as source
 from tarnfold.sources.embed import embed
+from tarnfold.storage import materialise
 from tarnfold.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,11 +70,16 @@ _E = "e AS (SELECT DISTINCT * FROM index_errors)"
 _R = "r AS (SELECT DISTINCT * FROM index_runs)"
 _V = "v AS (SELECT DISTINCT ON (chunk_id) chunk_id, embedding FROM chunks_vec WHERE len(embedding) = 384)"
 _SUFFIX = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]+)$', 1))"
-_TYPE = "CASE " + " ".join(f"WHEN {_SUFFIX} IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in paths.TYPES.items()) + " END"
+_TYPE = f"""CASE WHEN {_SUFFIX} = '.pdf' THEN 'pdf' WHEN {_SUFFIX} = '.docx' THEN 'docx' WHEN {_SUFFIX} IN ('.md', '.markdown') THEN 'markdown'
+WHEN {_SUFFIX} IN ('.txt', '.rst', '.csv', '.tsv', '.json', '.yaml', '.yml', '.toml', '.ini', '.cfg', '.py', '.js', '.ts', '.go', '.rs', '.java', '.c', '.cpp', '.h', '.sh', '.bash', '.zsh', '.fish', '.html', '.htm', '.xml', '.svg', '.sql', '.r', '.rb', '.pl', '.lua', '.tex', '.bib', '.org', '.log', '.conf', '.env') THEN 'text'
+WHEN {_SUFFIX} IN ('.jpg', '.jpeg', '.png', '.gif', '.heic', '.heif', '.webp', '.bmp', '.tiff', '.tif') THEN 'image' WHEN {_SUFFIX} IN ('.mp4', '.mov', '.avi', '.webm', '.mkv') THEN 'video' END"""
 _SPACE = r"[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]"
 _WINDOWS = f"""w AS (SELECT doc_id, i, substring(text, i * 800 + 1, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, ceil((length(text) - 1000) / 800.0)::BIGINT))) AS i FROM documents WHERE text IS NOT NULL)),
 p AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, content FROM w WHERE regexp_matches(content, '{_SPACE}'))"""
-_TOKENS = f"regexp_extract_all(translate(lower(content), '{text.ACCENTED}', '{text.BASES}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+# Letters with accents of the languages in the tables, their bases, and the combining marks; written out apart from the engine's rule.
+_LETTERS = "àáâãäåāăąçćčďèéêëēěęìíîïīñńňòóôõöőùúûüūůűýÿřśşšťźżžğțș", "aaaaaaaaacccdeeeeeeeiiiiinnnoooooouuuuuuuyyrssstzzzgts"
+_MARKED = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x323, 0x327, 0x328)))
+_TOKENS = f"regexp_extract_all(translate(lower(content), '{_LETTERS[0]}{_MARKED}', '{_LETTERS[1]}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
 
 def _bm25(phrases: list[str], hit: str, more: str = "") -> str:
@@ -96,9 +102,21 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+_INDEX: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def keyword_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of all chunks, written once per session and directory, by bucket and sorted by token."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEX:
+        rows = _t(spark, d, "chunks").select("id", "content")
+        postings = materialise(fulltext.indexed(rows, "id", "content").repartition("bucket").sortWithinPartitions("bucket", "token"), "postings", by="bucket")
+        _INDEX[key] = postings, materialise(fulltext.corpus(rows, "content"), "corpus")
+    return _INDEX[key]
+
+
 def _keyword(spark: SparkSession, d: str, words: str) -> DataFrame:
-    rows = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "content")
-    return _rounded(fulltext.search(rows, words, LIMIT), "score")
+    return _rounded(fulltext.lookup(*keyword_index(spark, d), words, LIMIT), "score")
 
 
 # Text and files
@@ -226,6 +244,13 @@ def bm25_search(spark, d):
     return _keyword(spark, d, WORDS)
 
 
+@query(f"WITH {_bm25([_one('naive'), _one('pictures')], 'f0 > 0 AND f1 > 0')} {_RESULT}")
+def bm25_over_texts(spark, d):
+    """The same without a stored index: all texts are tokenised."""
+    rows = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "content")
+    return _rounded(fulltext.search(rows, WORDS, LIMIT), "score")
+
+
 _PAIR = "len(list_filter(range(len(t)), lambda i: t[i + 1] = 'spare' AND t[i + 2] = 'parts'))"
 
 
@@ -275,7 +300,7 @@ _BOTH = f"WITH {_F}, {_bm25([_one('naive'), _one('pictures')], 'f0 > 0 AND f1 >
 
 
 def _hybrid(spark, d, path: str | None) -> DataFrame:
-    found = hybrid.search(_vectors(spark, d), table(spark, d, "chunks"), _t(spark, d, "files"), WORDS, _first_vector(spark, d), LIMIT, path)
+    found = hybrid.search(_vectors(spark, d), table(spark, d, "chunks"), _t(spark, d, "files"), WORDS, _first_vector(spark, d), LIMIT, path, index=keyword_index(spark, d))
     return _rounded(found.drop("metadata"), "vector_distance", "fts_score")
 
 

@@ -41,11 +41,12 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
-def materialise(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a frame that reads it back."""
+def materialise(df: DataFrame, name: str, spark: SparkSession | None = None, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in folders by the values of a column where asked, and returns a frame that reads it back."""
     spark = spark or df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnfold.operators import catalog, fulltext, hybrid, sync, vector
 from tarnfold.schema import empty
 
-WORDS = "alpha beta gamma delta epsilon café über zeta_eta x1 it's".split()
+WORDS = "alpha beta gamma delta epsilon café über zeta_eta x1 it's gęś žluťoučky kůň Şeker İstanbul ête\u0301 ŁÓDŹ Ελλάς ﬁn".split()
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +23,20 @@ def corpus(spark):
 QUERIES = ["alpha beta", "alpha OR delta", "alpha NOT beta", '"alpha beta"', "gam*", "cafe uber", "zeta_eta", "content:alpha", "(alpha OR beta) gamma", "alpha AND (beta NOT gamma)", "^alpha", "alpha + beta", "alpha beta OR gamma", '"alpha be" *', "NEAR(alpha beta, 1)", "what is?", "it's", "C++", "a/b", "foo-bar", "", "nope:x", "alpha AND", "(alpha", '"open']
 
 
-@pytest.mark.parametrize("q", QUERIES)
-def test_keyword_search_equals_fts5(corpus, q):
+@pytest.fixture(scope="module")
+def stored(spark, corpus):
+    return fulltext.indexed(corpus[0], "chunk_id", "content").cache(), fulltext.corpus(corpus[0], "content").cache()
+
+
+@pytest.mark.parametrize("q", QUERIES + ["ges", "zlutoucky OR kun", "seker istanbul", "ete", "łodz", "ελλασ", "alp* NOT gam*"])
+@pytest.mark.parametrize("over", ["texts", "index"])
+def test_keyword_search_equals_fts5(corpus, stored, q, over):
     df, db = corpus
     try:
         want = db.execute("SELECT rowid, rank FROM t WHERE t MATCH ? ORDER BY rank, rowid LIMIT 500", (q,)).fetchall()
     except sqlite3.OperationalError:
         want = []
-    got = [tuple(r) for r in fulltext.search(df, q, 500).collect()]
+    got = [tuple(r) for r in (fulltext.search(df, q, 500) if over == "texts" else fulltext.lookup(*stored, q, 500)).collect()]
     assert {i for i, _ in got} == {i for i, _ in want}
     if "NEAR" not in q:
         score = dict(want)
