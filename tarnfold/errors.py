@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 TRANSIENT = ("connection reset", "dns", "503", "timeout", "temporary failure", "name resolution", "broken pipe", "connection refused", "network unreachable")
 
 
+# The messages of these errors.
+
+
 class IndexError_(Exception):
     """Base of all errors of the service."""
 
@@ -34,7 +37,7 @@ class EmbeddingFailed(IndexError_):
 
 
 class UnsupportedFileType(IndexError_):
-    def __init__(self, suffix: str, path: str):
+    def __init__(self, path: str, suffix: str):
         super().__init__(f"Unsupported file type '{suffix}' for: {path}")
 
 

@@ -44,6 +44,11 @@ def get_chunks(chunks: DataFrame, files: DataFrame, file_path: str, limit: int =
     return found.select(F.col("id").alias("chunk_id"), "chunk_index", "content", "metadata").orderBy("chunk_index", "chunk_id").limit(limit)
 
 
+def parsed(rows: DataFrame, column: str = "metadata") -> DataFrame:
+    """``rows`` with the JSON text of a column as a value (variant), null where it is none."""
+    return rows.withColumn(column, F.try_parse_json(column))
+
+
 def errors(log_: DataFrame, resolved: bool | None = False, path: str | None = None, limit: int = 100, compat: bool = True) -> DataFrame:
     """The latest errors: unresolved, resolved, or all (None)."""
     rows = log_.where(has_prefix(F.col("path"), path, compat))

@@ -50,6 +50,11 @@ def resolve(log: DataFrame, stored: DataFrame, now: object) -> DataFrame:
     return rows.select(*[F.when(hit, F.lit(1)).otherwise(F.col(c)).alias(c) if c == "resolved" else F.when(hit, F.lit(now).cast("timestamp")).otherwise(F.col(c)).alias(c) if c == "resolved_at" else F.col(c) for c in log.columns])
 
 
+def resolvable(log: DataFrame, stored: DataFrame) -> DataFrame:
+    """The open errors of the stored paths: what ``resolve`` changes."""
+    return log.where("resolved = 0").join(stored.select("path").distinct(), "path", "left_semi")
+
+
 def latest_runs(events: DataFrame) -> DataFrame:
     """The state of each run from its append-only events: the last by ``seq``."""
     return events.groupBy("id").agg(F.max_by(F.struct(*[c for c in events.columns if c not in ("id", "seq")]), F.col("seq")).alias("_s")).select("id", "_s.*")

@@ -7,7 +7,6 @@ are rounded to six places in both engines; limits are features of the query
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from tarnfold.functions.exif import gps_column
 from tarnfold.operators import catalog, fulltext, hybrid, sync, vector
 from tarnfold.sources import scan as source
 from tarnfold.sources.embed import embed
-from tarnfold.storage import materialise
+from tarnfold.storage import local_path, materialise, scratch
 from tarnfold.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,7 +76,7 @@ _SPACE = r"[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}
 _WINDOWS = f"""w AS (SELECT doc_id, i, substring(text, i * 800 + 1, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, ceil((length(text) - 1000) / 800.0)::BIGINT))) AS i FROM documents WHERE text IS NOT NULL)),
 p AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, content FROM w WHERE regexp_matches(content, '{_SPACE}'))"""
 # Letters with accents of the languages in the tables, their bases, and the combining marks; written out apart from the engine's rule.
-_LETTERS = "àáâãäåāăąçćčďèéêëēěęìíîïīñńňòóôõöőùúûüūůűýÿřśşšťźżžğțș", "aaaaaaaaacccdeeeeeeeiiiiinnnoooooouuuuuuuyyrssstzzzgts"
+_LETTERS = "àáâãäåāăąçćčďèéêëēěęìíîïīñńňòóôõöőùúûüūůűýÿřśşšťźżžğțșµς", "aaaaaaaaacccdeeeeeeeiiiiinnnoooooouuuuuuuyyrssstzzzgtsμσ"
 _MARKED = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x323, 0x327, 0x328)))
 _TOKENS = f"regexp_extract_all(translate(lower(content), '{_LETTERS[0]}{_MARKED}', '{_LETTERS[1]}'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
@@ -483,20 +482,41 @@ def exif_gps(spark, d):
     return table(spark, d, "events").select("event_id", gps_column(lat, F.when(F.col("user_id") % 2 == 0, "S").otherwise("N"), lon, F.lit("E")).alias("gps"))
 
 
-@query()
+# A small tree of files, those that a scan leaves out among them.
+TREE = {
+    "notes/one.txt": "First note\nwith two lines", "notes/two.md": "# Zwei\n\nGrüße aus Köln", "notes/.hidden.txt": "hidden", "notes/empty.txt": "", "notes/paper.tex": "\\section{A}", "notes/page.css": "b { }",
+    "notes/.git/config.ini": "[core]", "src/tool.py": "print('naïve')", "src/run.fish": "echo 1", "src/a b%_.sql": "SELECT 1", "src/image.iso": "x", "src/photo.jpg": "x", "src/README": "no suffix",
+}
+_SEEN = ["notes/one.txt", "notes/two.md", "notes/empty.txt", "notes/paper.tex", "src/tool.py", "src/run.fish", "src/a b%_.sql"]
+_BODIES = "(VALUES " + ", ".join(f"('{name.split('/')[1]}', '{TREE[name].replace(chr(39), chr(39) * 2)}')" for name in _SEEN) + ") AS t(name, body)"
+
+
+def _tree(spark: SparkSession) -> str:
+    """The folder of the fixed tree, written anew in the shared folder."""
+    root = scratch(spark, "tree")
+    jvm = spark._jvm
+    for name, body in TREE.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(body.encode()))
+        out.close()
+    return local_path(root) or root
+
+
+@query(f"SELECT name, strlen(body)::BIGINT AS file_size FROM {_BODIES}")
 def scan_fs(spark, d):
-    """The scan of a file tree: this package's own folder."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    """The scan of a small tree of files."""
+    root = _tree(spark)
     return source.scan(source.listing(spark, root), Config(), root).select(paths.base_name(F.col("path")).alias("name"), "file_size")
 
 
-@query()
+@query(f"SELECT name, length(body)::INT AS n_chars, sha256(body) AS checksum, body AS text FROM {_BODIES}")
 def extract_fs(spark, d):
     """Text and checksum of every file of that tree."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = _tree(spark)
     found = source.scan(source.listing(spark, root), Config(), root)
     texts = source.extract(found.select("path"), Config()).join(source.checksums(found.select("path")), "path")
-    return texts.select(paths.base_name(F.col("path")).alias("name"), F.char_length("text").alias("n_chars"), "error", "checksum")
+    return texts.where("error is null").select(paths.base_name(F.col("path")).alias("name"), F.char_length("text").alias("n_chars"), "checksum", "text")
 
 
 @query()

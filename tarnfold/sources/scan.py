@@ -1,8 +1,8 @@
 """Scanning file trees and extracting text.
 
-The listing holds paths, sizes and times only and is made where the service
-runs; contents are read by the executors, one file at a time, and only for
-files whose size or time changed.
+The listing holds paths, sizes and times only; the executors walk the tree
+below its upper levels. Contents are read by the executors, one file at a time,
+and only for files whose size or time changed.
 """
 
 from __future__ import annotations
@@ -25,20 +25,78 @@ from tarnfold.functions.paths import base_name, file_type, glob_regex, suffix, s
 SCANNED = "path string, file_size long, mtime double"
 
 
+#: Directories that the driver opens at most before executors walk the rest.
+OPENED = 64
+
+
+def _entries(folder: str) -> tuple[list[tuple[str, int, float]], list[str]]:
+    """Files and directories of one directory; what can't be read is left out, links to directories are not followed."""
+    files, folders = [], []
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        folders.append(entry.path)
+                    elif entry.is_file():
+                        s = entry.stat()
+                        files.append((os.path.realpath(entry.path), s.st_size, s.st_mtime))
+                except OSError:
+                    continue
+    except OSError:
+        pass
+    return files, folders
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """All regular files below ``root`` (or the one file), resolved, with size and time; other paths give none."""
+    """All regular files below ``root`` (or the one file), resolved, with size and time; other paths give none.
+
+    The driver opens directories from the top until there are enough; the
+    executors walk what lies below these, each directory a task of its own.
+    """
     root = os.path.realpath(root)
-    rows = []
-    for folder, _, names in os.walk(root) if os.path.isdir(root) else [(os.path.dirname(root), [], [os.path.basename(root)])]:
-        for name in names:
-            at = os.path.join(folder, name)
-            try:
-                if os.path.isfile(at):
-                    s = os.stat(at)
-                    rows.append((os.path.realpath(at), s.st_size, s.st_mtime))
-            except OSError:
-                continue
-    return spark.createDataFrame(rows, SCANNED)
+    if os.path.isfile(root):
+        return spark.createDataFrame([(root, os.stat(root).st_size, os.stat(root).st_mtime)], SCANNED)
+    rows, folders = [], [root]
+    while folders and len(folders) < OPENED:
+        level, folders = folders, []
+        for folder in level:
+            files, below = _entries(folder)
+            rows += files
+            folders += below
+    top = spark.createDataFrame(rows, SCANNED)
+    if not folders:
+        return top
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            todo = list(batch["folder"])
+            while todo:
+                files, below = _entries(todo.pop())
+                todo += below
+                if files:
+                    yield pd.DataFrame(files, columns=["path", "file_size", "mtime"])
+
+    below = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders), "folder").mapInPandas(run, SCANNED)
+    return top.unionByName(below)
+
+
+def stated(paths: DataFrame) -> DataFrame:
+    """The paths that are files now, with size and time, as a listing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    if os.path.exists(path):
+                        s = os.stat(path)
+                        rows.append((path, s.st_size, s.st_mtime))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "file_size", "mtime"])
+
+    return paths.select("path").mapInPandas(run, SCANNED)
 
 
 def scan(files: DataFrame, config: Config, root: str = "", strict_hidden: bool = False, limit: int | None = None) -> DataFrame:

@@ -14,10 +14,9 @@ from tarnfold.errors import ExtractionFailed
 
 # Media types by suffix.
 MIME = {
-    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp", ".tiff": "image/tiff", ".tif": "image/tiff", ".heic": "image/heic", ".heif": "image/heif",
-    ".mp4": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".mkv": "video/x-matroska", ".webm": "video/webm",
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".heic": "image/heic", ".heif": "image/heif", ".webp": "image/webp", ".bmp": "image/bmp", ".tiff": "image/tiff", ".tif": "image/tiff",
+    ".mp4": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".webm": "video/webm", ".mkv": "video/x-matroska",
 }
-PROMPT = "Describe what is shown in a few factual sentences, with any text that can be read."
 # Fixed value: the local backend's own time limit in seconds.
 LOCAL_TIMEOUT = 120
 
@@ -45,7 +44,7 @@ class _Remote:
     images_only = True
 
     def __init__(self, config: Config):
-        self.model, self.timeout = config.caption_model, config.vision_timeout
+        self.model, self.timeout, self.prompt = config.caption_model, config.vision_timeout, config.vision_prompt
 
     def caption(self, path: str, data: bytes, file_type: str) -> str:
         if self.images_only and file_type != "image":
@@ -74,14 +73,14 @@ class Gemini(_Remote):
     images_only = False
 
     def ask(self, path: str, kind: str, data: str) -> str:
-        body = {"contents": [{"parts": [{"inline_data": {"mime_type": kind, "data": data}}, {"text": PROMPT}]}]}
+        body = {"contents": [{"parts": [{"inline_data": {"mime_type": kind, "data": data}}, {"text": self.prompt}]}]}
         out = _post(f"https://generativelanguage.googleapis.com/v1beta/models/{self.model}:generateContent", body, {"x-goog-api-key": _key("GEMINI_API_KEY", path)}, self.timeout)
         return out["candidates"][0]["content"]["parts"][0]["text"]
 
 
 class OpenAI(_Remote):
     def ask(self, path: str, kind: str, data: str) -> str:
-        content = [{"type": "text", "text": PROMPT}, {"type": "image_url", "image_url": {"url": f"data:{kind};base64,{data}"}}]
+        content = [{"type": "text", "text": self.prompt}, {"type": "image_url", "image_url": {"url": f"data:{kind};base64,{data}"}}]
         body = {"model": self.model, "max_tokens": 300, "messages": [{"role": "user", "content": content}]}
         out = _post("https://api.openai.com/v1/chat/completions", body, {"Authorization": f"Bearer {_key('OPENAI_API_KEY', path)}"}, self.timeout)
         return out["choices"][0]["message"]["content"]
@@ -89,7 +88,7 @@ class OpenAI(_Remote):
 
 class Ollama(_Remote):
     def ask(self, path: str, kind: str, data: str) -> str:
-        body = {"model": self.model, "prompt": PROMPT, "images": [data], "stream": False}
+        body = {"model": self.model, "prompt": self.prompt, "images": [data], "stream": False}
         return _post("http://localhost:11434/api/generate", body, {}, LOCAL_TIMEOUT)["response"]
 
 

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -50,6 +51,18 @@ def materialise(df: DataFrame, name: str, spark: SparkSession | None = None, by:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, column: str, start: int) -> DataFrame:
+    """``df`` with the numbers from ``start`` on in the given order: a distributed sort and one count per partition, no single task for all rows."""
+    rows = materialise(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    first = {}
+    for part, n in sorted((r[0], r[1]) for r in rows.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        first[part] = start
+        start += n
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    offset = F.try_element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("_part")) if first else F.lit(start)
+    return rows.withColumn(column, (offset + at).cast("long")).drop("_part", "_at")
+
+
 def drop_scratch(uri: str) -> None:
     """Removes a written intermediate result, where the folder is reachable as a file system."""
     if (path := local_path(uri)) and os.path.exists(path):
