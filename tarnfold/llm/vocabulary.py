@@ -30,3 +30,10 @@ def word_ranks(folder: str | None = None) -> dict[str, int]:
             text = word.decode().lower()
             out[text] = min(rank, out.get(text, rank))
     return out
+
+
+@functools.cache
+def ordinary_words(folder: str | None = None) -> frozenset[str]:
+    """Words of three or more ASCII letters that the vocabulary has in lower case: no names."""
+    found = (token[1:] for token in byte_ranks(folder=folder) if token[:1] == b" ")
+    return frozenset(w.decode() for w in found if len(w) >= 3 and w.isalpha() and w.isascii() and w.islower())
