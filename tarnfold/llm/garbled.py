@@ -38,7 +38,6 @@ SIGNS = "\xa0¡¢£¤¥¦§¨©ª«¬\xad®¯°±²³´µ¶·¸¹º»¼½¾¿×
 # Frequency of the Russian letters in running text, in percent.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.97, 8.45, 8.01, 7.35, 6.70, 6.26, 5.47, 4.73, 4.54, 4.40, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.90, 1.74, 1.70, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.32, 0.26, 0.04, 0.20)))
 REPLACEMENT = "�"
-ROUNDS = 4
 
 _CYRILLIC = [chr(c) for c in (*range(0x410, 0x450), 0x401, 0x451)]
 _GREEK = [chr(c) for c in range(0x391, 0x3CA) if c != 0x3A2]
@@ -84,7 +83,8 @@ def automaton():
     wide = _wide()
     for reader in READERS:
         table = _bytes_of(reader)
-        for c in [*narrow, *_CYRILLIC, *_GREEK, *wide]:
+        controls = [chr(c) for c in range(0x80, 0xA0)] if reader in ("cp1252", "latin-1") else []  # of text garbled twice
+        for c in [*narrow, *controls, *_CYRILLIC, *_GREEK, *wide]:
             seq = "".join(table[b] for b in c.encode())
             kind = WIDE if len(seq) > 2 else PAIR if c in cyrillic or reader in ("cp1251", "koi8_r", "cp1253") else NARROW
             units.setdefault(seq, []).append((f"utf-8>{reader}", kind, c))
@@ -261,11 +261,24 @@ _AT_END = re.compile(r"[a-zóñêæ]{3}[¹±](?![\w³¹¿±¶¼])")
 _LINE = re.compile(r"[^\r\n]+")
 
 
+_VOWELS = frozenset("aeiouyóąę")
+_CONSONANTS = re.compile(r"[^aeiouyóąę\W\d_]{5,}")
+
+
+def _polish(word: str) -> bool:
+    """Whether a restored word can be Polish: its letters, no nasal vowel beside another vowel (but behind i), no long run of consonants."""
+    low = word.lower()
+    if _VOWELS.isdisjoint(low) or any(c in "qvx" for c in low) or _CONSONANTS.search(low):
+        return False
+    return not any(c in "ąę" and ((k and low[k - 1] in _VOWELS - {"i"}) or (k + 1 < len(low) and low[k + 1] in _VOWELS)) for k, c in enumerate(low))
+
+
 def _central(text: str) -> list[tuple[int, int, str]]:
-    """Words of Polish in cp1250 or ISO 8859-2 read as Western: a sign inside a word gives the line away.
+    """Words of Polish in cp1250 or ISO 8859-2 read as Western: a sign inside a long enough word gives the line away.
 
     In such a line the words change whose every character beyond ASCII stands
-    for a Polish letter.
+    for a Polish letter and that can be Polish. A word of fewer than five letters,
+    as units and formulas are (m³h, x±sd), gives nothing away without others beside it.
     """
     out = []
     if not _INSIDE.search(text):
@@ -277,9 +290,11 @@ def _central(text: str) -> list[tuple[int, int, str]]:
             words = []
             for m in _WORD.finditer(line.group()):
                 t = _decode(m.group(), true)
-                if t and t != m.group() and all(c.isascii() or c in POLISH for c in t):
+                if t and t != m.group() and all(c.isascii() or c in POLISH for c in t) and (_polish(t) or len(t) == 1):
                     words.append((line.start() + m.start(), line.start() + m.end(), t))
-            if any(_INSIDE.search(text[a:b]) for a, b, _ in words):
+            sure = [(a, b) for a, b, _ in words if b - a >= 5 and _INSIDE.search(text[a:b])]
+            short = [a for a, b, _ in words if _INSIDE.search(text[a:b])]
+            if sure or short and (len(short) >= 3 or sum(b - a >= 5 for a, b, _ in words) >= 2) and len(words) >= 3:
                 out += words
                 break
     return out
@@ -305,11 +320,13 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     """Whether ``text`` has a garbled sequence, and the text with every accepted span replaced."""
     if not text or text.isascii():
         return False, text
-    found = REPLACEMENT in text
-    for _ in range(ROUNDS):
+    found, met = REPLACEMENT in text, set()
+    while text not in met:
+        met.add(text)
         spans, hints = _spans_of_units(text) if _SUSPECT.search(text) else ([], set())
         if hints:
-            spans = spans + _spans_of_runs(text, hints)
+            inside = lambda run: sum(min(b, run[1]) - max(a, run[0]) for a, b, _ in spans if a < run[1] and run[0] < b)
+            spans = spans + [run for run in _spans_of_runs(text, hints) if inside(run) < 0.8 * (run[1] - run[0])]
         if _CYRILLIC_ANY.search(text):
             spans = spans + _swapped(text)
         spans = _apart(spans + _central(text))

@@ -79,7 +79,10 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             while end > least and _joined(text, end):
                 end -= 1
         pieces.append((start, end))
-        start = max(start + 1, end - overlap)
+        begin = max(start + 1, end - overlap)
+        # a piece doesn't begin inside a character, unless that has more parts than the overlap has places
+        whole = next((at for at in range(begin, max(start, begin - overlap), -1) if not _joined(text, at)), begin)
+        start = whole
 
 
 def _pieces(key: str, text: str, limit: int, overlap: int, with_text: bool):

@@ -23,7 +23,7 @@ def test_pieces_put_together_give_the_text(limit, overlap):
         out, at = "", 0
         for a, b in pieces:
             assert a <= at
-            assert at == 0 or at - a <= overlap
+            assert at == 0 or at - a <= overlap or (at - a < 2 * overlap and splitting._joined(t, at - overlap))
             out, at = out + t[at:b], b
         assert out == t
 
@@ -36,6 +36,15 @@ def test_cuts_fall_on_the_strongest_boundary():
     assert (a, b, c) == (0, 1000, 800)
 
 
+def test_pieces_begin_with_whole_characters():
+    text = "xe\u0301" * 1500
+    pieces = splitting.cut(text)
+    assert all(not splitting._joined(text, a) for a, _ in pieces[1:]) and all(b - a <= 1000 for a, b in pieces) and pieces[-1][1] == len(text)
+    assert all(200 <= before[1] - after[0] <= 202 for before, after in zip(pieces, pieces[1:]))
+    marks = splitting.cut("a" + "\u0301" * 5000)
+    assert len(marks) < 20 and marks[-1][1] == 5001
+
+
 def test_split_frame(spark):
     rows = [(1, None, "k"), (2, "", "k"), (3, "z" * 1200, "k"), (3, "z" * 1200, "k"), (4, "short", "k")]
     df = spark.createDataFrame(rows, "id long, content string, piece_index string")
@@ -79,6 +88,20 @@ def test_intended_characters_are_no_case():
         assert garbled.repair(t) == (False, t)
 
 
+@pytest.mark.parametrize("text", ["flow of 10 m³h today", "mean x±sd", "dm¹ and cm²", "a¹b, c²d", "10 m³/h, 5±2 km", "width±error of ±3", "µm ½ cup", "Ελληνικά κείμενο", "Български език тук", "Où est le garçon ? Là-bas, près du château.", "Zażółć gęślą jaźń", "H¹N¹ ¿Qué? ¡Sí!"])
+def test_correct_text_is_left(text):
+    assert garbled.repair(text) == (False, text)
+
+
+def test_text_garbled_many_times_and_single_polish_words():
+    text = "précède"
+    for _ in range(6):
+        text = text.encode().decode("latin-1")
+    assert garbled.repair(text) == (True, "précède")
+    assert garbled.repair("pokazuje brakuj¹ce strony") == (True, "pokazuje brakujące strony")
+    assert garbled.repair("mo¿e pó³noc by³a d³uga") == (True, "może północ była długa")
+
+
 def test_restore_frame(spark):
     df = spark.createDataFrame([(1, "cafÃ©", 0), (1, "cafÃ©", 0), (2, None, 0), (3, "", 0), (4, "fine é", 0)], "id long, content string, _text int")
     assert sorted(tuple(r) for r in garbled.restore(df, "id", "content").collect()) == [(1, "café"), (1, "café")]
