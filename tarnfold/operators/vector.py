@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def l2(vector: Column, query: Column) -> Column:
@@ -14,26 +18,46 @@ def l2(vector: Column, query: Column) -> Column:
     return F.when(F.size(vector) == F.size(query), F.sqrt(squares))
 
 
-def literal(query: list[float]) -> Column:
-    return F.lit([float(x) for x in query]).cast("array<double>")
+def _best(q: np.ndarray, k: int, kind: pa.DataType, names: list[str]):
+    """The ``k`` nearest distinct ids of each partition: what leaves it doesn't grow with its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, far = None, np.zeros(0)
+        for batch in batches:
+            right = pc.and_(pc.equal(pc.list_value_length(batch.column(1)), len(q)), pc.is_valid(batch.column(0))).fill_null(False)
+            column, own = batch.column(1).filter(right), batch.column(0).filter(right).to_numpy(zero_copy_only=False)
+            x = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = np.sqrt(((x - q) ** 2).sum(1))
+            ok = ~np.isnan(d)
+            ids, far = (own[ok] if ids is None else np.concatenate([ids, own[ok]])), np.concatenate([far, d[ok]])
+            order = np.lexsort((ids, far))
+            _, first = np.unique(ids[order], return_index=True)
+            keep = order[np.sort(first)[:k]]
+            ids, far = ids[keep], far[keep]
+        if ids is not None and len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(far)], names)
+
+    return run
 
 
 def knn(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", unique: bool = False) -> DataFrame:
     """The ``k`` nearest vectors: ``id_col`` and distance, ties by id.
 
-    ``query`` is a literal vector or a one-row frame with a column ``query``.
-    Null vectors and those of another length or with NaN take no part. Ids
-    count once; unless they are ``unique``, ids and distances (not vectors) are
-    shuffled for that.
+    ``query`` is a vector or a frame with a column ``query``, whose first row
+    is read at once. Null ids, null vectors and those of another length, with
+    null or with NaN take no part. Ids count once, with their least distance.
+    Every task keeps its ``k`` nearest, so only these are shuffled.
     """
-    rows = vectors.select(id_col, vector_col)
+    kind = vectors.schema[id_col].dataType
     if isinstance(query, DataFrame):
-        rows, q = rows.crossJoin(F.broadcast(query.select("query").limit(1))), F.col("query")
-    else:
-        q = literal(query)
-    far = rows.select(id_col, l2(F.col(vector_col), q).alias("distance"))
-    far = far.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
-    return (far if unique else far.groupBy(id_col).agg(F.min("distance").alias("distance"))).orderBy("distance", id_col).limit(k)
+        first = query.select("query").head()
+        query = first[0] if first else None
+    if not query:
+        return vectors.select(id_col, F.lit(0.0).alias("distance")).limit(0)
+    rows = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("_v"))
+    near = rows.mapInArrow(_best(np.asarray(query, float), k, to_arrow_type(kind), [id_col, "distance"]), f"`{id_col}` {kind.simpleString()}, distance double")
+    return near.groupBy(id_col).agg(F.min("distance").alias("distance")).orderBy("distance", id_col).limit(k)
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:

@@ -17,7 +17,7 @@ from tarnfold.functions.text import windows
 from tarnfold.operators import catalog, fulltext, hybrid, sync
 from tarnfold.sources import scan as source
 from tarnfold.sources.embed import Embedder, embed, embedder
-from tarnfold.storage import materialise, numbered
+from tarnfold.storage import materialise, numbered, removing_scratch
 from tarnfold.store import Store
 
 
@@ -47,7 +47,8 @@ class Index:
             params.whole("batch_limit", batch_limit, 0)
         if not os.path.exists(path):
             raise PathNotFound(path)
-        return self._run(path, False, self._listing(path, batch_limit))
+        with removing_scratch(self.spark):
+            return self._run(path, False, self._listing(path, batch_limit))
 
     def reindex(self, path: str | None = None) -> dict[str, Any]:
         """Indexes again whatever its state; without a path all known files, removing those that are gone, in one commit."""
@@ -55,7 +56,12 @@ class Index:
         if path is not None:
             if not os.path.exists(path):
                 raise PathNotFound(path)
-            return self._run(path, True, self._listing(path))
+            with removing_scratch(self.spark):
+                return self._run(path, True, self._listing(path))
+        with removing_scratch(self.spark):
+            return self._reindex_known()
+
+    def _reindex_known(self) -> dict[str, Any]:
         files = self.store.read("files")
         here = materialise(source.stated(files.select("path").repartition(max(1, self.config.workers))), "here")
         gone = materialise(files.join(here.select("path"), "path", "left_anti").select("path", F.col("id").alias("file_id")), "gone")
@@ -65,12 +71,16 @@ class Index:
         """Removes a file, or what lies below an existing directory (``prefix``: whether it exists or not)."""
         params.OnePath(path)
         at = os.path.realpath(path)
+        with removing_scratch(self.spark):
+            return {"path": at, "files_removed": self._remove(at, prefix)}
+
+    def _remove(self, at: str, prefix: bool) -> int:
         ids = materialise(sync.under(self.store.read("files"), at, prefix or os.path.isdir(at)).select(F.col("id").alias("file_id")), "removed")
         count = ids.count()
         if count:
             add, tables = self._without(ids)
             self.store.commit(add, **tables)
-        return {"path": at, "files_removed": count}
+        return count
 
     def _without(self, ids: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         """Rows to add and tables to replace so that the files ``ids`` are gone: postings stay equal to chunks."""

@@ -9,10 +9,11 @@ without the setting (tests, a laptop) gets a temporary folder once.
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders written by the requests that are under way, so that these can remove them.
+_SCOPES: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate result."""
-    return f"{shared_dir(spark)}/tarnfold-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{shared_dir(spark)}/tarnfold-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+@contextlib.contextmanager
+def removing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate results written within, for work whose answer is whole at the end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            drop_scratch(spark, folder)
 
 
 def local_path(uri: str) -> str | None:
@@ -63,7 +82,7 @@ def numbered(df: DataFrame, order: list, column: str, start: int) -> DataFrame:
     return rows.withColumn(column, (offset + at).cast("long")).drop("_part", "_at")
 
 
-def drop_scratch(uri: str) -> None:
-    """Removes a written intermediate result, where the folder is reachable as a file system."""
-    if (path := local_path(uri)) and os.path.exists(path):
-        shutil.rmtree(path, ignore_errors=True)
+def drop_scratch(spark: SparkSession, uri: str) -> None:
+    """Removes a written intermediate result."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
