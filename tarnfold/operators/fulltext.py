@@ -260,7 +260,7 @@ def search(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", te
             raise
         return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
     t = F.col("_t")
-    whole = rows.where(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("_t"))
+    whole = rows.where(F.col(text_col).isNotNull()).select(id_col, _once(tokens(F.col(text_col))).alias("_t"))
     counted = _counted(whole.withColumn("_dl", F.size(t)), node, id_col)
     if not unique:
         counted = counted.dropDuplicates([id_col])
@@ -289,6 +289,11 @@ def _scored(counted: DataFrame, totals: DataFrame, node: Node, id_col: str, limi
     return hits.orderBy("score", id_col).limit(limit)
 
 
+def _once(value: Column) -> Column:
+    """``value`` as one generated row: computed once, where a plain column would be put into every expression that reads it."""
+    return F.explode(F.array(value))
+
+
 def bucket(token: Column) -> Column:
     """The bucket of the stored index that a token is in."""
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
@@ -329,8 +334,8 @@ def lookup(index: DataFrame, stats: DataFrame, query: str, limit: int, id_col: s
     for w in sorted(starts):
         wanted = wanted | F.col("token").startswith(w)
     read = index.where(wanted).groupBy("chunk_id").agg(F.first("dl").alias("_dl"), F.collect_list(F.transform("positions", lambda i: F.struct(i.alias("i"), F.col("token").alias("w")))).alias("_at"))
-    at = F.map_from_entries(F.flatten("_at"))
-    rows = read.select(F.col("chunk_id").alias(id_col), "_dl", F.transform(F.sequence(F.lit(0), F.col("_dl") - 1), lambda i: F.try_element_at(at, i)).alias("_t"))
+    at = read.select(F.col("chunk_id").alias(id_col), "_dl", _once(F.map_from_entries(F.flatten("_at"))).alias("_m"))
+    rows = at.select(id_col, "_dl", _once(F.transform(F.sequence(F.lit(0), F.col("_dl") - 1), lambda i: F.try_element_at(F.col("_m"), i))).alias("_t"))
     totals = stats.agg(F.sum("n").alias("_n"), (F.sum("tokens") / F.sum("n")).alias("_avg"))
     return _scored(_counted(rows, node, id_col), totals, node, id_col, limit)
 
