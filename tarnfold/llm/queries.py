@@ -119,5 +119,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p4_classes": p4_classes, "p4_path_classes": p4_path_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_segments": p9_segments}
 
 
+_WORD_SETS = """c AS (SELECT DISTINCT id, content FROM chunks WHERE content IS NOT NULL), w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM c),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20))"""
+_PATH_SETS = "f AS (SELECT DISTINCT id, lower(path) AS p FROM files WHERE path IS NOT NULL), z AS (SELECT DISTINCT id, substring(p, i, 4) AS g FROM (SELECT id, p, unnest(range(1, length(p) - 2)) AS i FROM f))"
+
+
+def _alike(kind: str, sets: str) -> str:
+    """SQL of the pairs of sets that share 60 % of their union."""
+    return f"""SELECT '{kind}' AS kind, id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM {sets} a JOIN {sets} b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+JOIN (SELECT id, count(*) AS n FROM {sets} GROUP BY id) x ON x.id = id_a JOIN (SELECT id, count(*) AS n FROM {sets} GROUP BY id) y ON y.id = id_b WHERE o * 10 >= 6 * (x.n + y.n - o)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 1000"}
+    return {
+        "p4_found": f"WITH {_WORD_SETS}, {_PATH_SETS} {_alike('content', 's')} UNION ALL {_alike('path', 'z')}",
+        "p6_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 1000",
+    }

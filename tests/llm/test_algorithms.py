@@ -163,6 +163,34 @@ def test_different_texts_of_a_large_class_are_paired_out(spark):
     assert "p4_path_classes" in queries.queries()
 
 
+def test_thresholds_are_the_cheapest_allocation():
+    import itertools
+
+    r = np.random.RandomState(9)
+    for _ in range(40):
+        groups, steps = r.randint(1, 5), 3
+        cost = np.cumsum(r.randint(1, 9, (1, groups, steps)), 2).astype(np.float32)
+        cost[0, r.randint(groups), 1:] = np.inf
+        need = np.asarray([r.randint(1, groups * steps + 2)])
+        price = lambda units: sum(0 if u == 0 else cost[0, g, u - 1] for g, u in enumerate(units))
+        best = min((price(u) for u in itertools.product(range(steps + 1), repeat=groups) if sum(u) >= need[0]), default=np.inf)
+        got = similar.allocate(cost, need)[0]
+        assert (got == -1).all() if not np.isfinite(best) else got.sum() >= need[0] and price(got) == best
+
+
+@pytest.mark.skipif(not pytest.importorskip("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_near_duplicates_equal_sql(spark):
+    import duckdb
+
+    from tarnfold.llm import queries
+
+    con, d = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("chunks", "files"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()["p4_found"]).fetchall())
+    assert sorted(tuple(r) for r in queries.p4_found(spark, d).collect()) == want
+
+
 # Problem 7
 
 
