@@ -1,9 +1,13 @@
 """A character-level bidirectional LSTM with a linear-chain CRF, in numpy.
 
-Inputs are character classes and binary features; the input weights of a class
-are one row of a table, so no product is needed for them. ``scores`` runs
-windows of equal length in a batch, ``viterbi`` decodes them, ``loss`` gives
-the negative log likelihood of the CRF with all gradients for training.
+Gates and cells are piecewise linear (hard sigmoid, hard tangent), as the
+transcendental ones would cost most of the time of reading; a cell stays within
+``BOUND``, so that a text may be of any length. Inputs are character classes
+and binary features; the input weights of a class are one row of a table, so no
+product is needed for them. ``Network.read`` runs whole sequences of any
+lengths in a batch and decodes them, ``scores`` and ``viterbi`` do the same
+plainly for sequences of equal length, ``loss`` gives the negative log
+likelihood of the CRF with all gradients for training.
 """
 
 from __future__ import annotations
@@ -11,6 +15,10 @@ from __future__ import annotations
 import numpy as np
 
 Params = dict[str, np.ndarray]
+#: Largest value of a cell, either way.
+BOUND = 4
+#: Steps whose hidden states are kept until they are turned into scores.
+STEPS = 32
 
 
 def initial(classes: int, features: int, hidden: int, labels: int, seed: int = 0) -> Params:
@@ -27,34 +35,26 @@ def initial(classes: int, features: int, hidden: int, labels: int, seed: int = 0
     return p
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
 def _run(x: np.ndarray, w: np.ndarray, keep: bool):
     """Hidden states of one direction over inputs (T, B, 4H); gates i, f, o, g."""
     steps, batch, wide = x.shape
     hidden = wide // 4
-    out = np.empty((steps, batch, hidden), np.float32)
-    h, c = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
+    out = np.empty((steps, batch, hidden), x.dtype)
+    h, c = np.zeros((batch, hidden), x.dtype), np.zeros((batch, hidden), x.dtype)
     kept = []
     for t in range(steps):
         z = h @ w
         z += x[t]
-        s = _sigmoid(z[:, : 3 * hidden])
-        g = np.tanh(z[:, 3 * hidden :])
+        s = np.clip(z[:, : 3 * hidden] / 4 + 0.5, 0, 1)
+        g = np.clip(z[:, 3 * hidden :], -1, 1)
         i, f, o = s[:, :hidden], s[:, hidden : 2 * hidden], s[:, 2 * hidden :]
         before = c
-        c = f * c + i * g
-        th = np.tanh(c)
+        c = np.clip(f * c + i * g, -BOUND, BOUND)
+        th = np.clip(c, -1, 1)
         h = o * th
         out[t] = h
         if keep:
-            kept.append((s.copy(), g, before, th))
+            kept.append((s, g, before, th, c))
     return out, kept
 
 
@@ -91,6 +91,114 @@ def viterbi(score: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return out
 
 
+class Network:
+    """The network made ready for reading: slopes folded into the weights, one row of input for each class with each set of features."""
+
+    def __init__(self, p: Params):
+        self.hidden, self.labels = len(p["hf"]), len(p["t"])
+        features = len(p["uf"])
+        given = (np.arange(1 << features)[:, None] >> np.arange(features) & 1).astype(np.float32)
+        slope = np.repeat(np.float32([0.25, 0.25, 0.25, 1]), self.hidden)
+        shift = np.repeat(np.float32([0.5, 0.5, 0.5, 0]), self.hidden)
+        self.rows, self.weights, self.out = [], [], []
+        for d, o in zip("fb", np.split(p["o"], 2)):
+            x = (p[f"x{d}"][:, None] + given @ p[f"u{d}"]).reshape(-1, 4 * self.hidden) * slope + shift
+            self.rows.append(np.ascontiguousarray(x.reshape(-1, 4, self.hidden).transpose(1, 0, 2), np.float32))
+            self.weights.append(np.ascontiguousarray((p[f"h{d}"] * slope).reshape(self.hidden, 4, self.hidden).transpose(1, 0, 2), np.float32))
+            self.out.append(np.ascontiguousarray(o, np.float32))
+        self.bias, self.transition = p["ob"], p["t"]
+        t = p["t"]
+        #: What a label can gain over label 0 by its transitions at most.
+        self.gain = (t - t[:, :1]).max(0) + (t - t[:1]).max(1)
+
+    def _scores(self, rows: np.ndarray, weights: np.ndarray, out: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores (T, B, labels) of one direction; the columns of ``codes`` (T, B) have descending sizes, and only what is left of them is computed."""
+        steps, batch = codes.shape
+        hidden, n = self.hidden, batch
+        left = np.searchsorted(-sizes, -np.arange(steps), "left")
+        scores = np.empty((steps, batch, self.labels), np.float32)
+        kept = np.zeros((STEPS, batch, hidden), np.float32)
+        flat = np.empty((2, 4 * batch * hidden), np.float32)
+        cell, last = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
+        x, z = flat.reshape(2, 4, batch, hidden)
+        for t in range(steps):
+            if left[t] != n:
+                n = int(left[t])
+                x, z = (b[: 4 * n * hidden].reshape(4, n, hidden) for b in flat)
+            h, c = kept[t % STEPS, :n], cell[:n]
+            np.take(rows, codes[t, :n], 1, out=x, mode="clip")
+            np.matmul(last[:n], weights, out=z)
+            z += x
+            gates, g = z[:3], z[3]
+            np.clip(gates, 0, 1, out=gates)
+            np.clip(g, -1, 1, out=g)
+            g *= gates[0]
+            c *= gates[1]
+            c += g
+            np.clip(c, -BOUND, BOUND, out=c)
+            np.clip(c, -1, 1, out=h)
+            h *= gates[2]
+            last = h
+            if t % STEPS == STEPS - 1 or t == steps - 1:
+                begin = t - t % STEPS
+                np.matmul(kept[: t + 1 - begin], out, out=scores[begin : t + 1])
+        return scores
+
+    def read(self, codes: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Best labels of each sequence, None where all are 0. Codes: the class times the number of sets of features, plus the set, of each character."""
+        out: list[np.ndarray | None] = [None] * len(codes)
+        order = sorted((k for k in range(len(codes)) if len(codes[k])), key=lambda k: -len(codes[k]))
+        if not order:
+            return out
+        sizes = np.asarray([len(codes[k]) for k in order])
+        ahead = np.zeros((2, len(order), sizes[0]), np.intp)
+        for j, k in enumerate(order):
+            ahead[0, j, : sizes[j]] = codes[k]
+            ahead[1, j, : sizes[j]] = codes[k][::-1]
+        forth, back = (self._scores(rows, weights, part, np.ascontiguousarray(c.T), sizes) for rows, weights, part, c in zip(self.rows, self.weights, self.out, ahead))
+        score = np.concatenate([forth[:n, j] + back[n - 1 :: -1, j] for j, n in enumerate(sizes)]) + self.bias
+        label, begin = self.decoded(score, sizes), np.cumsum(sizes) - sizes
+        for k, has, at, n in zip(order, np.logical_or.reduceat(label > 0, begin), begin, sizes):
+            if has:
+                out[k] = label[at : at + n]
+        return out
+
+    def decoded(self, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best labels of sequences in a row, by the CRF and exact.
+
+        Where no label can gain on 0, whatever its neighbours are, it is 0 on the
+        best path; the runs between such places are decoded by themselves.
+        """
+        label, t_ = np.zeros(len(score), np.int8), self.transition
+        first, last = np.zeros((2, len(score)), bool)
+        first[np.cumsum(sizes) - sizes], last[np.cumsum(sizes) - 1] = True, True
+        score = np.ascontiguousarray(score.T)
+        unsure = np.zeros(score.shape[1], bool)
+        for j in range(1, len(score)):
+            unsure |= score[j] + self.gain[j] >= score[0]
+        begin = np.flatnonzero(unsure & (first | ~np.r_[False, unsure[:-1]]))
+        size = np.flatnonzero(unsure & (last | ~np.r_[unsure[1:], False])) + 1 - begin
+        if not len(begin):
+            return label
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        left = np.searchsorted(-size, -np.arange(size[0]), "left")
+        best = [score[:, begin] + np.where(first[begin], 0, t_[0][:, None])]
+        for t in range(1, size[0]):
+            before = best[-1][:, : left[t]]
+            now = before[0] + t_[0][:, None]
+            for i in range(1, len(t_)):
+                np.maximum(now, before[i] + t_[i][:, None], out=now)
+            best.append(now + score[:, begin[: left[t]] + t])
+        now, ending = np.zeros(len(begin), np.int64), np.where(last[begin + size - 1], 0, t_[:, :1])
+        for t in range(size[0] - 1, -1, -1):
+            n, goes = left[t], left[t + 1] if t + 1 < size[0] else 0
+            now[goes:n] = (best[t][:, goes:n] + ending[:, goes:n]).argmax(0)
+            now[:goes] = (best[t][:, :goes] + t_[:, now[:goes]]).argmax(0)
+            label[begin[:n] + t] = now[:n]
+        return label
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
@@ -136,15 +244,16 @@ def loss(p: Params, chars: np.ndarray, features: np.ndarray, labels: np.ndarray)
         w = p[f"h{d}"]
         dw = np.zeros_like(w)
         for t in range(steps - 1, -1, -1):
-            gates, cand, before, th = kept[t]
+            gates, cand, before, th, now = kept[t]
             i, fo, o = gates[:, :half], gates[:, half : 2 * half], gates[:, 2 * half :]
             h = dh[t] + back_h
-            c = h * o * (1 - th * th) + back_c
+            c = (h * o * (np.abs(th) < 1) + back_c) * (np.abs(now) < BOUND)
             step = dz[t]
-            step[:, :half] = c * cand * i * (1 - i)
-            step[:, half : 2 * half] = c * before * fo * (1 - fo)
-            step[:, 2 * half : 3 * half] = h * th * o * (1 - o)
-            step[:, 3 * half :] = c * i * (1 - cand * cand)
+            step[:, :half] = c * cand
+            step[:, half : 2 * half] = c * before
+            step[:, 2 * half : 3 * half] = h * th
+            step[:, : 3 * half] *= ((gates > 0) & (gates < 1)) / np.float32(4)
+            step[:, 3 * half :] = c * i * (np.abs(cand) < 1)
             back_c = c * fo
             back_h = step @ w.T
             if t:

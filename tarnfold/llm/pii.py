@@ -2,15 +2,11 @@
 
 A character-level bidirectional LSTM with CRF transitions (``bilstm``), trained
 in numpy on labelled spans (``pii_training``), tags e-mail addresses, phone
-numbers, numbers given by an authority, street addresses and names. It runs
-over overlapping windows around every place that can hold a mention: an at
-sign in any spelling, a long enough number, two words with capitals side by
-side, two neighbouring words of which one is a known part of a name (in any
-case, over any white space), a street word. Text between is not read: a name
-of which no part is in the table is found there with capitals and on one line
-only. Where windows overlap, each
-character takes the label of the window it lies deepest in, and a mention
-found once in a text is marked at its other occurrences too.
+numbers, numbers given by an authority, street addresses and names. It reads every
+character of every text, as one sequence up to ``WINDOW`` characters; longer
+texts are read in windows that overlap and meet in the middle of the overlap.
+No pattern decides what is read. Equal texts of a batch are read once. A
+mention found once in a text is marked at its other occurrences too.
 
 Metadata is read as JSON: every string value is tagged with its key as
 context and replaced in place, so that all else stays byte for byte; text
@@ -42,9 +38,9 @@ from tarnfold.llm import bilstm
 from tarnfold.llm.vocabulary import ordinary_words
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-WINDOW, STRIDE, HIDDEN, FEATURES = 96, 64, 32, 3
-#: Characters of context around a place; windows run together.
-REACH, TOGETHER = 34, 2048
+WINDOW, STRIDE, HIDDEN, FEATURES = 1024, 960, 32, 3
+#: Windows run together.
+TOGETHER = 1024
 
 _UPPER_ACCENTED = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŚŻŹĆĄĘŃŠŽČŘ"
 _LOWER_ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßłśżźćąęńšžčřőű"
@@ -83,10 +79,8 @@ def classes_of(text: str) -> np.ndarray:
 
 
 _TOKEN = re.compile(r"[^\W\d_]{2,}")
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]+|\.)")
-_LINE_END = re.compile(r"([^\W\d_]{2,},?)([ \t\xa0]*\r?\n[ \t\xa0]*)(?=([^\W\d_]{2,}))")
+_NEXT_LINE = re.compile(r"\n[ \t\xa0]*([^\W\d_]{2,})")
 _BROKEN = re.compile(r"(?:[^\W\d_]+\.?[ \xa0])*([^\W\d_]+),?[ \t\xa0]*\r?\n[ \t\xa0]*([^\W\d_]+)(?:[ \xa0][^\W\d_]+\.?)*")
-_GAP = re.compile(r",?\s+")
 
 
 class Lexicon:
@@ -95,15 +89,6 @@ class Lexicon:
     def __init__(self, given: list[str], families: list[str]):
         self.kind = {w.lower(): 0 for w in given} | {w.lower(): 1 for w in families}
 
-    def beside(self, text: str) -> Iterator[tuple[int, int]]:
-        """Two neighbouring words, in any case and across any white space, of which one is a known part of a name."""
-        last, known, kind = None, False, self.kind
-        for m in _WORD.finditer(text):
-            now = m.group().lower() in kind
-            if last is not None and (now or known) and _GAP.fullmatch(text, last.end(), m.start()):
-                yield last.start(), m.end()
-            last, known = m, now
-
     def broken(self, text: str, a: int, b: int) -> bool:
         """Whether the only break in [a, b) is a line end between a given and a family part."""
         m = _BROKEN.fullmatch(text, a, b)
@@ -111,10 +96,23 @@ class Lexicon:
 
     def joined(self, text: str) -> str:
         """``text``, as long as before, with spaces for line ends between a given and a family part."""
-        return _LINE_END.sub(lambda m: m[1] + " " * len(m[2]) if {self.kind.get(m[1].rstrip(",").lower()), self.kind.get(m[3].lower())} == {0, 1} else m[0], text) if "\n" in text else text
+        out, end = [], 0
+        for m in _NEXT_LINE.finditer(text):
+            if (kind := self.kind.get(m[1].lower())) is not None:
+                head = text[: m.start()].removesuffix("\r").rstrip(" \t\xa0")
+                b = len(head) - head.endswith(",")
+                a = b
+                while a and head[a - 1].isalpha():
+                    a -= 1
+                if self.kind.get(head[a:b].lower()) == 1 - kind:
+                    out += [text[end : len(head)], " " * (m.start(1) - len(head))]
+                    end = m.start(1)
+        return "".join([*out, text[end:]]) if out else text
 
     def flags(self, text: str) -> np.ndarray:
         out = np.zeros((len(text), FEATURES), np.uint8)
+        if self.kind.keys().isdisjoint(map(str.lower, _TOKEN.findall(text))):
+            return out
         for m in _TOKEN.finditer(text):
             if (k := self.kind.get(m.group().lower())) is not None:
                 out[m.start() : m.end(), k] = 1
@@ -122,55 +120,6 @@ class Lexicon:
         return out
 
 
-# Words that stand with a capital before a noun or begin a sentence, so that the pair is no name.
-_NO_NAME = frozenset("The An This That Its Every No Der Die Das Ein Eine Den Dem El La Le Il Lo Les Los Las Un Una Une Het De Een Det En Ett As Os Um Uma On In At For If ERROR WARN INFO DEBUG SELECT FROM JOIN GROUP WHERE COUNT BEGIN END PRIVATE PUBLIC RSA".split())
-_UP = f"A-Z{_UPPER_ACCENTED}"
-_NAMES = re.compile(rf"[{_UP}](?<![a-z0-9_{_UP}{_LOWER_ACCENTED}].)(?:[^\W\d_]+(?:-[{_UP}][^\W\d_]*)*,?|\.)[ \xa0]{{1,2}}(?=(?:(?:von|van|der|den|de|di|da|del|della|du|zu|la|le|das|dos)[ \xa0]){{0,2}}[{_UP}](?:[^\W\d_]|\.))")
-_MAIL = re.compile(r"[@(\[&＠](?:(?<=[@＠])|at[)\]]|#64;)")
-_MAIL_WORDS = re.compile(r"[\w.]+ at [\w.\-]+ dot ", re.I)
-_NUMBER = re.compile(r"[+(\d](?<![A-Za-z0-9_.:/\-].)(?!(?<=\d)\d{3}-\d\d-\d\d)(?!(?<=\d)\d{0,2}\.\d{1,3}\.\d{1,3}\.)[+(\d](?:[ ().\-/\xa0]{0,3}\d){6,}(?![\d:])")
-_MIXED = re.compile(r"[A-Z0-9](?<![A-Za-z0-9_\-].)(?:[A-Z0-9\-]{6,19}\b|[A-Z] ?\d\d ?\d\d ?\d\d ?[A-D]\b)")
-# Words of streets, before or behind the name of the street.
-_STREET_WORDS = ("str.", "straße", "strasse", "weg ", "gasse ", "allee ", "platz ", "ring ", "ufer ", "damm ", "straat", "laan ", "gracht", "kade ", "plein ", "gatan", "vägen", "torget", "gränd ", "rue ", "venue", "place ", "boulevard", "chemin", "quai ", "allée", "impasse", "Calle ", "Avenida ", "Plaza ", "Paseo ", "C/ ", "Via ", "Viale ", "Piazza ", "Corso ", "Rua ", "ul. ", "al. ", "Street", " St", "Road", "Rd", "Lane", "Ave", "Drive", "Dr", "Close", "Court", "Way", "Blvd", "Place", "Square", "Terrace", "Crescent", "Gardens")
-_STREET = re.compile(r"\d{1,5}(?<![\w.]\d)[a-z]?,? (?:bis,? |ter,? )?(?:(?:[A-Z][\w'’\-]+ ){1,3}?(?:Street|St|Road|Rd|Lane|Ave|Avenue|Drive|Dr|Close|Court|Way|Blvd|Boulevard|Place|Square|Terrace|Crescent|Gardens)\b|(?:rue|avenue|place|boulevard|chemin|quai|allée|impasse)\b)|(?:str\.|straße|strasse|weg|gasse|allee|platz|ring|ufer|damm|straat|laan|gracht|kade|plein|gatan|vägen|torget|gränd) \d|(?:Calle|Avenida|Plaza|Paseo|C/|Via|Viale|Piazza|Corso|Rua|ul\.|al\.) (?:(?:de|del|de la|da|do|das|dos|dei|della) )?[^\W\d_]")
-_POST = re.compile(r"[\dA-Z](?:(?<=\d)\d{4} [A-Z][a-z]|(?<=[A-Z])[A-Z] \d{5}\b|(?<=[A-Z])[A-Z]?\d{1,2} \d[A-Z]{2}\b)")
-
-
-def _found(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
-    yield from lexicon.beside(text)
-    for m in _NAMES.finditer(text):
-        if m.group().strip(" \xa0,") not in _NO_NAME:
-            yield m.start(), m.end() + 12
-    for m in _MAIL.finditer(text):
-        yield m.span()
-    if " dot " in text or " DOT " in text:
-        for m in _MAIL_WORDS.finditer(text):
-            yield m.span()
-    for m in _NUMBER.finditer(text):
-        yield m.span()
-    for m in _MIXED.finditer(text):
-        s = m.group()
-        if sum(map(str.isdigit, s)) >= 5 and any(map(str.isalpha, s)):
-            yield m.span()
-    for m in _POST.finditer(text):
-        yield m.span()
-    if any(w in text for w in _STREET_WORDS):
-        for m in _STREET.finditer(text):
-            yield m.span()
-
-
-def places(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
-    """Stretches of the text that the network reads, sorted, apart and widened by ``REACH``."""
-    out: list[list[int]] = []
-    for a, b in sorted(_found(text, lexicon)):
-        a, b = max(0, a - REACH), min(len(text), b + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def windows(length: int, a: int, b: int) -> list[int]:
     """Starts of the windows over [a, b), each inside the text as far as it is long enough."""
     last = max(0, length - WINDOW)
@@ -186,59 +135,38 @@ def weights() -> bilstm.Params:
 
 
 class Tagger:
-    """Tags many texts together in one worker."""
+    """Tags many texts together in one worker: the network reads every character of each."""
 
     def __init__(self, given: list[str], families: list[str]):
-        self.lexicon, self.params = Lexicon(given, families), weights()
-
-    def tag(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        """Sorted spans (start, end, kind) of each text."""
-        owner, start = [], []
-        read: dict[int, str] = {}
-        for k, text in enumerate(texts):
-            if text and (where := places(text, self.lexicon)):
-                read[k] = self.lexicon.joined(text)
-                for a, b in where:
-                    for s in windows(len(text), a, b):
-                        if not owner or owner[-1] != k or start[-1] != s:
-                            owner.append(k)
-                            start.append(s)
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        labels: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for c in range(0, len(owner), TOGETHER):
-            part = list(zip(owner[c : c + TOGETHER], start[c : c + TOGETHER]))
-            chars = np.zeros((WINDOW, len(part)), np.int64)
-            features = np.zeros((WINDOW, len(part), FEATURES), np.uint8)
-            for k, (o, s) in enumerate(part):
-                piece = read[o][s : s + WINDOW]
-                chars[: len(piece), k] = classes_of(piece)
-                features[: len(piece), k] = self.lexicon.flags(piece)
-            best = bilstm.viterbi(bilstm.scores(self.params, chars, features), self.params["t"])
-            for k in np.flatnonzero(best.any(0)):
-                labels.setdefault(part[k][0], []).append((part[k][1], best[:, k]))
-            for k in np.flatnonzero(~best.any(0)):
-                if part[k][0] in labels:
-                    labels[part[k][0]].append((part[k][1], best[:, k]))
-        for o, own in labels.items():
-            out[o] = _spans(texts[o], _reconcile(texts[o], own), self.lexicon)
-        return out
+        self.lexicon, self.network = Lexicon(given, families), bilstm.Network(weights())
 
+    def _codes(self, text: str) -> np.ndarray:
+        text = self.lexicon.joined(text)
+        return (classes_of(text) << FEATURES) + self.lexicon.flags(text) @ (1 << np.arange(FEATURES, dtype=np.int16))
 
-def _reconcile(text: str, own: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """One label per character: that of the window whose edge is farthest."""
+    def tag(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """Sorted spans (start, end, kind) of each text; equal texts are read once."""
+        codes = {text: self._codes(text) for text in dict.fromkeys(filter(None, texts))}
+        where = [(text, s) for text in codes for s in windows(len(text), 0, len(text))]
+        where.sort(key=lambda w: -min(WINDOW, len(w[0]) - w[1]))
+        own: dict[str, list[tuple[int, np.ndarray | None]]] = {}
+        for c in range(0, len(where), TOGETHER):
+            part = where[c : c + TOGETHER]
+            for (text, s), label in zip(part, self.network.read([codes[text][s : s + WINDOW] for text, s in part])):
+                own.setdefault(text, []).append((s, label))
+        spans = {text: _spans(text, _reconcile(text, found), self.lexicon) for text, found in own.items() if any(label is not None for _, label in found)}
+        return [spans.get(text, []) for text in texts]
+
+
+def _reconcile(text: str, own: list[tuple[int, np.ndarray | None]]) -> np.ndarray:
+    """One label per character: windows that overlap meet in the middle between their edges."""
     label = np.zeros(len(text), np.int8)
-    depth = np.zeros(len(text), np.int16)
-    inner = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.int16)
-    for s, found in own:
+    end = 0
+    for s, found in sorted(own, key=lambda w: w[0]):
         n = min(WINDOW, len(text) - s)
-        deep = inner[:n].copy()
-        if s == 0:
-            deep[: n // 2] = WINDOW
-        if s + n == len(text):
-            deep[n // 2 :] = WINDOW
-        take = deep > depth[s : s + n]
-        label[s : s + n][take] = found[:n][take]
-        depth[s : s + n][take] = deep[take]
+        skip = (end - s) // 2 if s else 0
+        label[s + skip : s + n] = 0 if found is None else found[skip:]
+        end = s + n
     return label
 
 
@@ -312,6 +240,8 @@ _WORD_BEFORE, _WORD_AFTER = re.compile(r"([^\W\d_]+)[ \xa0]+\Z"), re.compile(r"[
 # Words in lower case that stand inside addresses, and ends of words for streets.
 _IN_STREETS = frozenset("de del la las los da do das dos du des dei della di el le bis ter rue avenue place boulevard chemin quai allée impasse ul al im am an der den zum zur van aan op apt".split())
 _STREET_ENDS = ("str", "straße", "strasse", "weg", "gasse", "allee", "platz", "ring", "ufer", "damm", "straat", "laan", "gracht", "kade", "plein", "gatan", "vägen", "torget", "gränd")
+# Ordinary words of two letters, which the public vocabulary does not tell from pieces of words.
+_SHORT = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we".split())
 # Words in lower case that stand inside names.
 _PARTICLES = frozenset("de da di del della der den van von zu la le el e y i".split())
 
@@ -329,12 +259,15 @@ def plausible(text: str, a: int, b: int, kind: str, lexicon: Lexicon) -> bool:
     if kind == "address":
         if any(w.islower() and w not in _IN_STREETS and not w.endswith(_STREET_ENDS) for w in _FULL_WORD.findall(s)):
             return False
-        return digits >= 1 and len(_FULL_WORD.findall(s)) >= 2 and len(s) >= 12 and bool(re.search(r"[ ,]\d|\d[ ,]", s)) and not re.search(r"[=$<>;{}]", s)
+        words = _FULL_WORD.findall(s)
+        if len(words) == 2 and len(re.findall(r"\d+", s)) == 1 and not re.search(r"[,\n]", s):  # a street at most, without a place
+            return False
+        return digits >= 1 and len(words) >= 2 and len(s) >= 12 and bool(re.search(r"[ ,]\d|\d[ ,]", s)) and not re.search(r"[=$<>;{}]", s)
     words = _FULL_WORD.findall(s)
     if digits or not words or _joins(before) or _joins(after) or before in ("_", "/", "{", "$", "@", "-") or after in ("_", "/", "(", "@") or re.search(r"[_/${}=|@#\[\]<>«»“”:]", s) or len(words) > 6:
         return False
     if not any(w.lower() in lexicon.kind for w in words):
-        if not re.search(r"\b[^\W\d_]\.", s) and all(w.lower() in ordinary_words() for w in words if w not in _PARTICLES):
+        if not re.search(r"\b[^\W\d_]\.", s) and all(w.lower() in ordinary_words() or w.lower() in _SHORT for w in words if w not in _PARTICLES):
             return False
         if s.isupper() and any(m and m[1].isupper() for m in (_WORD_BEFORE.search(text, max(0, a - 24), a), _WORD_AFTER.match(text, b))):
             return False
