@@ -18,7 +18,11 @@ Params = dict[str, np.ndarray]
 #: Largest value of a cell, either way.
 BOUND = 4
 #: Steps whose hidden states are kept until they are turned into scores.
-STEPS = 32
+STEPS = 8
+#: Sequences run together: few enough for the caches of a core, enough for the calls of a step.
+COLUMNS = 384
+#: Gain below which a run of labels is out, less rounding.
+SLACK = 0.01
 
 
 def initial(classes: int, features: int, hidden: int, labels: int, seed: int = 0) -> Params:
@@ -92,7 +96,7 @@ def viterbi(score: np.ndarray, transition: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """The network made ready for reading: slopes folded into the weights, one row of input for each class with each set of features."""
+    """The network made ready for reading: slopes folded into the weights, one row of input for each class with each set of features, both directions in one product."""
 
     def __init__(self, p: Params):
         self.hidden, self.labels = len(p["hf"]), len(p["t"])
@@ -100,86 +104,152 @@ class Network:
         given = (np.arange(1 << features)[:, None] >> np.arange(features) & 1).astype(np.float32)
         slope = np.repeat(np.float32([0.25, 0.25, 0.25, 1]), self.hidden)
         shift = np.repeat(np.float32([0.5, 0.5, 0.5, 0]), self.hidden)
-        self.rows, self.weights, self.out = [], [], []
-        for d, o in zip("fb", np.split(p["o"], 2)):
-            x = (p[f"x{d}"][:, None] + given @ p[f"u{d}"]).reshape(-1, 4 * self.hidden) * slope + shift
-            self.rows.append(np.ascontiguousarray(x.reshape(-1, 4, self.hidden).transpose(1, 0, 2), np.float32))
-            self.weights.append(np.ascontiguousarray((p[f"h{d}"] * slope).reshape(self.hidden, 4, self.hidden).transpose(1, 0, 2), np.float32))
-            self.out.append(np.ascontiguousarray(o, np.float32))
+        rows, weights = [], []
+        for d in "fb":
+            x = (p[f"x{d}"] + (given @ p[f"u{d}"])[:, None]).reshape(-1, 4 * self.hidden) * slope + shift
+            rows.append(x.reshape(-1, 4, self.hidden).transpose(1, 0, 2))
+            weights.append((p[f"h{d}"] * slope).reshape(self.hidden, 4, self.hidden).transpose(1, 0, 2))
+        #: Row of each code: those without a feature, which most characters have, lie together.
+        self.place = np.arange(len(given) * len(p["xf"]), dtype=np.int32).reshape(len(given), -1).T.ravel()
+        #: By gate: the rows of both directions one after the other; the weights by direction.
+        self.rows = np.ascontiguousarray(np.concatenate(rows, 1), np.float32)
+        self.weights = np.ascontiguousarray(np.stack(weights, 1), np.float32)
+        #: Filled up with zeros, as products with eight columns are faster.
+        self.out = np.zeros((2, self.hidden, -(-self.labels // 8) * 8), np.float32)
+        self.out[:, :, : self.labels] = np.split(p["o"], 2)
         self.bias, self.transition = p["ob"], p["t"]
+        self.space: dict[str, np.ndarray] = {}
         t = p["t"]
-        #: What a label can gain over label 0 by its transitions at most.
-        self.gain = (t - t[:, :1]).max(0) + (t - t[:1]).max(1)
+        #: What a label gains on 0 by the transition to it from any label but 0, at most.
+        self.gain = t[1:].max(0) - t[0, 0]
+        #: What a run of labels gains more by its first and last transition, at most: inside a sequence and at its edges.
+        self.entry, self.exit = float((t[0, 1:] - t[0, 0] - self.gain[1:]).max()), float(t[1:, 0].max() - t[0, 0])
+        self.opening = float(-self.gain[1:].min())
 
-    def _scores(self, rows: np.ndarray, weights: np.ndarray, out: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Scores (T, B, labels) of one direction; the columns of ``codes`` (T, B) have descending sizes, and only what is left of them is computed."""
-        steps, batch = codes.shape
+    def _room(self, name: str, kind: type, *shape: int) -> np.ndarray:
+        """An array of any content that is used again by the next call."""
+        size = int(np.prod(shape))
+        if name not in self.space or len(self.space[name]) < size:
+            self.space[name] = np.empty(size, kind)
+        return self.space[name][:size].reshape(shape)
+
+    def _scores(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores (T, 2, B, labels and fill) of both directions, of ``codes`` (T, 2, B) that are rows of ``self.rows``; the columns have descending sizes, and only what is left of them is computed."""
+        steps, _, batch = codes.shape
         hidden, n = self.hidden, batch
-        left = np.searchsorted(-sizes, -np.arange(steps), "left")
-        scores = np.empty((steps, batch, self.labels), np.float32)
-        kept = np.zeros((STEPS, batch, hidden), np.float32)
-        flat = np.empty((2, 4 * batch * hidden), np.float32)
-        cell, last = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
-        x, z = flat.reshape(2, 4, batch, hidden)
+        left = np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
+        scores = self._room("scores", np.float32, steps, 2, batch, self.out.shape[2])
+        kept, cell, last = (self._room(name, np.float32, *shape, 2, batch, hidden) for name, shape in (("kept", [STEPS]), ("cell", []), ("last", [])))
+        for a in (kept, cell, last):
+            a.fill(0)
+        flat = self._room("flat", np.float32, 2, 8 * batch * hidden)
+        x, z = flat.reshape(2, 4, 2, batch, hidden)
+        c = cell
+        zero, one, bound = np.float32(0), np.float32(1), np.float32(BOUND)
         for t in range(steps):
             if left[t] != n:
-                n = int(left[t])
-                x, z = (b[: 4 * n * hidden].reshape(4, n, hidden) for b in flat)
-            h, c = kept[t % STEPS, :n], cell[:n]
-            np.take(rows, codes[t, :n], 1, out=x, mode="clip")
-            np.matmul(last[:n], weights, out=z)
-            z += x
+                n = left[t]
+                x, z = (b[: 8 * n * hidden].reshape(4, 2, n, hidden) for b in flat)
+                c, last = cell[:, :n], last[:, :n]
+            h = kept[t % STEPS, :, :n]
+            self.rows.take(codes[t, :, :n], 1, x, "clip")
+            np.matmul(last, self.weights, out=z)
+            np.add(z, x, out=z)
             gates, g = z[:3], z[3]
-            np.clip(gates, 0, 1, out=gates)
-            np.clip(g, -1, 1, out=g)
-            g *= gates[0]
-            c *= gates[1]
-            c += g
-            np.clip(c, -BOUND, BOUND, out=c)
-            np.clip(c, -1, 1, out=h)
-            h *= gates[2]
+            gates.clip(zero, one, gates)
+            g.clip(-one, one, g)
+            np.multiply(g, gates[0], out=g)
+            np.multiply(c, gates[1], out=c)
+            np.add(c, g, out=c)
+            c.clip(-bound, bound, c)
+            c.clip(-one, one, g)
+            np.multiply(g, gates[2], out=h)
             last = h
             if t % STEPS == STEPS - 1 or t == steps - 1:
                 begin = t - t % STEPS
-                np.matmul(kept[: t + 1 - begin], out, out=scores[begin : t + 1])
+                np.matmul(kept[: t + 1 - begin], self.out, out=scores[begin : t + 1])
         return scores
 
+    def _read(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (characters, labels and fill) without the bias, of sequences of descending sizes, one after the other, and their sizes."""
+        sizes = np.asarray([len(c) for c in codes])
+        steps, batch = int(sizes[0]), len(sizes)
+        ahead = self._room("ahead", np.int32, 2, batch, steps)
+        for j, c in enumerate(codes):
+            row = ahead[0, j, : len(c)]
+            self.place.take(c, 0, row, "clip")
+            np.add(row[::-1], len(self.place), out=ahead[1, j, : len(c)])
+        line = self._room("line", np.intp, steps, 2, batch)
+        line[:] = ahead.transpose(2, 0, 1)
+        scores = self._scores(line, sizes).reshape(-1, self.out.shape[2])
+        column, begin = np.arange(batch), np.cumsum(sizes) - sizes
+        at = np.arange(0, 2 * batch * int(sizes.sum()), 2 * batch)
+        at += np.repeat(column - 2 * batch * begin, sizes)
+        score, back = (self._room(name, np.float32, len(at), scores.shape[1]) for name in ("forth", "back"))
+        scores.take(at, 0, score, "clip")
+        np.subtract(np.repeat(2 * (batch * (sizes - 1) + column) + batch, sizes), at, out=at)
+        scores.take(at, 0, back, "clip")
+        score += back
+        return score, sizes
+
     def read(self, codes: list[np.ndarray]) -> list[np.ndarray | None]:
         """Best labels of each sequence, None where all are 0. Codes: the class times the number of sets of features, plus the set, of each character."""
         out: list[np.ndarray | None] = [None] * len(codes)
         order = sorted((k for k in range(len(codes)) if len(codes[k])), key=lambda k: -len(codes[k]))
-        if not order:
+        runs, where, before = [], [], 0
+        for c in range(0, len(order), COLUMNS):
+            score, sizes = self._read([codes[k] for k in order[c : c + COLUMNS]])
+            unsure, first, last = self.unsure(score, sizes)
+            at = np.flatnonzero(unsure)
+            runs.append((score[at, : self.labels] + self.bias, first[at], last[at], at + before))
+            where.append(sizes)
+            before += len(score)
+        if not before:
             return out
-        sizes = np.asarray([len(codes[k]) for k in order])
-        ahead = np.zeros((2, len(order), sizes[0]), np.intp)
-        for j, k in enumerate(order):
-            ahead[0, j, : sizes[j]] = codes[k]
-            ahead[1, j, : sizes[j]] = codes[k][::-1]
-        forth, back = (self._scores(rows, weights, part, np.ascontiguousarray(c.T), sizes) for rows, weights, part, c in zip(self.rows, self.weights, self.out, ahead))
-        score = np.concatenate([forth[:n, j] + back[n - 1 :: -1, j] for j, n in enumerate(sizes)]) + self.bias
-        label, begin = self.decoded(score, sizes), np.cumsum(sizes) - sizes
-        for k, has, at, n in zip(order, np.logical_or.reduceat(label > 0, begin), begin, sizes):
-            if has:
-                out[k] = label[at : at + n]
+        score, first, last, at = (np.concatenate(x) for x in zip(*runs))
+        label, sizes = self.decoded(score, first, last, at), np.concatenate(where)
+        at, label = at[label > 0], label[label > 0]
+        begin = np.cumsum(sizes) - sizes
+        for k, a, n, i, j in zip(order, begin.tolist(), sizes.tolist(), np.searchsorted(at, begin).tolist(), np.searchsorted(at, begin + sizes).tolist()):
+            if j > i:
+                out[k] = np.zeros(n, np.int8)
+                out[k][at[i:j] - a] = label[i:j]
         return out
 
-    def decoded(self, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Best labels of sequences in a row, by the CRF and exact.
+    def unsure(self, score: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where sequences in a row may have a label on the best path, and where they begin and end.
 
-        Where no label can gain on 0, whatever its neighbours are, it is 0 on the
-        best path; the runs between such places are decoded by themselves.
+        On the best path a run of labels gains on zeros in its place. It gains at
+        most the sum, over its characters, of what the best label with the best
+        transition to it gains, and what it pays to begin and end; so a character
+        is 0 where no stretch around it comes to a gain. The best stretch up to a
+        character is a difference of sums from the start.
         """
-        label, t_ = np.zeros(len(score), np.int8), self.transition
         first, last = np.zeros((2, len(score)), bool)
-        first[np.cumsum(sizes) - sizes], last[np.cumsum(sizes) - 1] = True, True
-        score = np.ascontiguousarray(score.T)
-        unsure = np.zeros(score.shape[1], bool)
-        for j in range(1, len(score)):
-            unsure |= score[j] + self.gain[j] >= score[0]
-        begin = np.flatnonzero(unsure & (first | ~np.r_[False, unsure[:-1]]))
-        size = np.flatnonzero(unsure & (last | ~np.r_[unsure[1:], False])) + 1 - begin
-        if not len(begin):
+        end = np.cumsum(sizes)
+        first[end - sizes], last[end - 1] = True, True
+        more = self.gain + self.bias - self.bias[0]
+        most = score[:, 1] + more[1]
+        for j in range(2, self.labels):
+            np.maximum(most, score[:, j] + more[j], out=most)
+        most -= score[:, 0]
+        most[first] += self.opening - self.entry
+        most[last] -= self.exit
+        total = np.zeros(len(most) + 1)
+        np.cumsum(most, dtype=np.float64, out=total[1:])
+        up, down = np.minimum.accumulate(total[:-1]), np.maximum.accumulate(total[:0:-1])[::-1]
+        down -= up
+        return down >= -(self.entry + self.exit + SLACK), first, last
+
+    def decoded(self, score: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Best labels, by the CRF and exact, of the characters ``at`` these places; those between them are 0, and ``first`` and ``last`` tell the edges of sequences."""
+        label, t_ = np.zeros(len(score), np.int8), self.transition
+        if not len(score):
             return label
+        gap = np.diff(at) > 1
+        begin = np.flatnonzero(first | np.r_[True, gap])
+        size = np.flatnonzero(last | np.r_[gap, True]) + 1 - begin
+        score = np.ascontiguousarray(score.T)
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         left = np.searchsorted(-size, -np.arange(size[0]), "left")

@@ -39,8 +39,8 @@ from tarnfold.llm.vocabulary import ordinary_words
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 WINDOW, STRIDE, HIDDEN, FEATURES = 1024, 960, 32, 3
-#: Windows run together.
-TOGETHER = 1024
+#: Windows read together.
+TOGETHER = 4096
 
 _UPPER_ACCENTED = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŚŻŹĆĄĘŃŠŽČŘ"
 _LOWER_ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßłśżźćąęńšžčřőű"
@@ -75,10 +75,12 @@ def number_of_classes() -> int:
 
 def classes_of(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return _table()[np.minimum(code, 0xFFFF)]
+    return _table().take(code, mode="clip")
 
 
 _TOKEN = re.compile(r"[^\W\d_]{2,}")
+#: Latin-1: letters in lower case, spaces for all else.
+_LETTERS = bytes(ord(c.lower()) if re.match(r"[^\W\d_]", c) else 32 for c in map(chr, range(256)))
 _NEXT_LINE = re.compile(r"\n[ \t\xa0]*([^\W\d_]{2,})")
 _BROKEN = re.compile(r"(?:[^\W\d_]+\.?[ \xa0])*([^\W\d_]+),?[ \t\xa0]*\r?\n[ \t\xa0]*([^\W\d_]+)(?:[ \xa0][^\W\d_]+\.?)*")
 
@@ -88,6 +90,14 @@ class Lexicon:
 
     def __init__(self, given: list[str], families: list[str]):
         self.kind = {w.lower(): 0 for w in given} | {w.lower(): 1 for w in families}
+        self.latin = {w.encode("latin-1", "ignore") for w in self.kind}
+
+    def occurs(self, text: str) -> bool:
+        """Whether a part of the table may be in ``text``; false only where none is."""
+        try:
+            return not self.latin.isdisjoint(text.encode("latin-1").translate(_LETTERS).split())
+        except UnicodeEncodeError:
+            return not self.kind.keys().isdisjoint(map(str.lower, _TOKEN.findall(text)))
 
     def broken(self, text: str, a: int, b: int) -> bool:
         """Whether the only break in [a, b) is a line end between a given and a family part."""
@@ -111,7 +121,7 @@ class Lexicon:
 
     def flags(self, text: str) -> np.ndarray:
         out = np.zeros((len(text), FEATURES), np.uint8)
-        if self.kind.keys().isdisjoint(map(str.lower, _TOKEN.findall(text))):
+        if not self.occurs(text):
             return out
         for m in _TOKEN.finditer(text):
             if (k := self.kind.get(m.group().lower())) is not None:
@@ -121,11 +131,10 @@ class Lexicon:
 
 
 def windows(length: int, a: int, b: int) -> list[int]:
-    """Starts of the windows over [a, b), each inside the text as far as it is long enough."""
-    last = max(0, length - WINDOW)
+    """Starts of the windows over [a, b), which end with the text; the last has what is left and the overlap, as nothing else need be read again."""
     if b - a <= WINDOW:
-        return [min(max(0, (a + b - WINDOW) // 2), last)]
-    return [min(s, last) for s in range(a, b - (WINDOW - STRIDE), STRIDE)]
+        return [min(max(0, (a + b - WINDOW) // 2), max(0, length - WINDOW))]
+    return list(range(a, b - (WINDOW - STRIDE), STRIDE))
 
 
 @functools.cache
@@ -141,8 +150,11 @@ class Tagger:
         self.lexicon, self.network = Lexicon(given, families), bilstm.Network(weights())
 
     def _codes(self, text: str) -> np.ndarray:
-        text = self.lexicon.joined(text)
-        return (classes_of(text) << FEATURES) + self.lexicon.flags(text) @ (1 << np.arange(FEATURES, dtype=np.int16))
+        text = self.lexicon.joined(text) if "\n" in text else text
+        codes, flags = classes_of(text) << FEATURES, self.lexicon.flags(text)
+        if flags.any():
+            codes += flags @ (1 << np.arange(FEATURES, dtype=np.int16))
+        return codes
 
     def tag(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Sorted spans (start, end, kind) of each text; equal texts are read once."""
@@ -350,7 +362,7 @@ def _tagger(given: tuple[str, ...], families: tuple[str, ...]) -> Tagger:
     return Tagger(list(given), list(families))
 
 
-_TOGETHER_ROWS = 1024
+_TOGETHER_ROWS = 2048
 
 
 def _batches(given: tuple[str, ...], families: tuple[str, ...], with_text: bool):
