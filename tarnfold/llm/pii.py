@@ -38,7 +38,7 @@ from tarnfold.llm import bilstm
 from tarnfold.llm.vocabulary import ordinary_words
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-WINDOW, STRIDE, HIDDEN, FEATURES = 1024, 960, 32, 3
+WINDOW, STRIDE, HIDDEN, FEATURES = 1024, 896, 32, 3
 #: Windows read together.
 TOGETHER = 4096
 
